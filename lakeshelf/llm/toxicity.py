@@ -225,7 +225,7 @@ def lexicon(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     if not total[1]:
         return spark.createDataFrame([], _LEXICON)
-    return chosen.groupBy(F.lit(0)).applyInArrow(fit, _LEXICON)
+    return chosen.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(fit, _LEXICON)
 
 
 _TRIES: dict[tuple, Trie] = {}
