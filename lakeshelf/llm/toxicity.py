@@ -201,22 +201,26 @@ def score(text: str, trie: Trie, window: int = 8) -> tuple[float, int]:
 _LEXICON = "term string, stem boolean, exact double, fuzzy double"
 
 
-def lexicon(train: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Lexicon entries learned from (doc_id, text, toxic). A bounded sample of each label is fitted in
-    one task: the rows of least id hash, cut off by a histogram of the hashes."""
-    spark = train.sparkSession
-    rows = train.where("toxic in (0, 1)").withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int"))
+def lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Lexicon entries learned from docs and the labels of ids that aren't held out.
+
+    A bounded sample of the labels of each kind, those of least id hash as a histogram of the hashes
+    cuts them off, is sent to the documents, and their texts are fitted in one task."""
+    spark = docs.sparkSession
+    known = labels.where(~held_out("doc_id")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int"))
     counts: dict[int, list[int]] = {0: [0] * _BUCKETS, 1: [0] * _BUCKETS}
     for toxic, h, n in rows.groupBy("toxic", "_h").count().collect():  # at most two times _BUCKETS rows
         counts[toxic][h] = n
     cut, total = {}, {}
     for toxic, own in counts.items():
         at, have = 0, 0
-        while at < _BUCKETS and (have + own[at] <= sample_rows or have == 0):
+        while at < _BUCKETS and have + own[at] <= sample_rows:
             have += own[at]
             at += 1
         cut[toxic], total[toxic] = at, sum(own)
-    chosen = rows.where(F.col("_h") < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0])).select("text", F.col("toxic").cast("int").alias("toxic"))
+    ids = rows.where(F.col("_h") < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0])).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_rows ids at most
 
     def fit(table: pa.Table) -> pa.Table:
         texts, toxic = table["text"].to_pylist(), table["toxic"].to_pylist()
@@ -236,11 +240,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
     Labels of held-out ids are never read. The lexicon holds few terms, as each needs a share of the
     bounded sample; it goes to the tasks with the function."""
-    spark = docs.sparkSession
-    known = labels.where(~held_out("doc_id")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = text.where(~held_out("doc_id")).join(known, "doc_id")
-    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(train, sample_rows).collect())
+    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(docs, labels, sample_rows).collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _TRIES.get(entries)
@@ -254,15 +255,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
                 ["doc_id", "held_out", "score", "predicted", "n_hits"],
             )
 
-    del spark
     return text.withColumn("held_out", held_out("doc_id")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_hits int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns, in one pass."""
-    known = labels.where(~held_out("doc_id")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(text.where(~held_out("doc_id")).join(known, "doc_id"), options.get("sample_rows", SAMPLE_ROWS)).collect())
+    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(docs, labels, options.get("sample_rows", SAMPLE_ROWS)).collect())
     threshold = options.get("threshold", THRESHOLD)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
