@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows of each label are read to fit the lexicon.
+#: About so many labelled rows of each label, at the most, are read to fit the lexicon.
 SAMPLE_ROWS = 6000
 #: predicted is 1 from this score.
 THRESHOLD = 0.7
-_BUCKETS = 1 << 14
+_HASHES = 1 << 48
 _TOKEN = re.compile(r"[^\W_][\w']*|[\"“”„«»]")
 _QUOTES = frozenset("\"“”„«»")
 _REPORTING = frozenset(
@@ -204,23 +204,16 @@ _LEXICON = "term string, stem boolean, exact double, fuzzy double"
 def lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Lexicon entries learned from docs and the labels of ids that aren't held out.
 
-    A bounded sample of the labels of each kind, those of least id hash as a histogram of the hashes
-    cuts them off, is sent to the documents, and their texts are fitted in one task."""
+    A bounded sample of the labels of each kind, those of least id hash (sample_rows on average, give
+    or take their square root), is sent to the documents, and their texts are fitted in one task."""
     spark = docs.sparkSession
     known = labels.where(~held_out("doc_id")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(_BUCKETS)).cast("int"))
-    counts: dict[int, list[int]] = {0: [0] * _BUCKETS, 1: [0] * _BUCKETS}
-    for toxic, h, n in rows.groupBy("toxic", "_h").count().collect():  # at most two times _BUCKETS rows
-        counts[toxic][h] = n
-    cut, total = {}, {}
-    for toxic, own in counts.items():
-        at, have = 0, 0
-        while at < _BUCKETS and have + own[at] <= sample_rows:
-            have += own[at]
-            at += 1
-        cut[toxic], total[toxic] = at, sum(own)
-    ids = rows.where(F.col("_h") < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0])).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_rows ids at most
+    total = {0: 0, 1: 0} | {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    # ids whose 48-bit hash lies below the share that the sample may have of its label
+    share = {t: int(min(1.0, sample_rows / max(1, n)) * _HASHES) for t, n in total.items()}
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    ids = known.where(below).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_rows ids or so
 
     def fit(table: pa.Table) -> pa.Table:
         texts, toxic = table["text"].to_pylist(), table["toxic"].to_pylist()
