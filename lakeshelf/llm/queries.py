@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeshelf.llm import bpe, lines, packing, simhash, toxicity
+from lakeshelf.llm import bpe, lines, packing, simhash, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_classes(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
