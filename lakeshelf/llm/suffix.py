@@ -85,7 +85,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.uint64)
         rank[order] = np.concatenate([[1], 1 + np.cumsum(sorted_[1:] != sorted_[:-1])]).astype(np.uint64)
         if step >= 64 or rank.max(initial=0) == n:
-            return order
+            return order.astype(np.int32)
         ahead = np.zeros(n, np.uint64)
         ahead[: max(0, n - step)] = rank[step:]
         ahead[rest <= step] = 0
@@ -103,9 +103,9 @@ def interleave(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shards: l
     first[starts] = True
     merged = np.concatenate(shards)
     # the empty suffixes, one for each string, stand for themselves: their predecessors open each bucket
-    last = ends[ends > starts] - 1
+    last = (ends[ends > starts] - 1).astype(np.int32)
     for _ in range(depth):
-        before = merged[~first[merged]] - 1
+        before = merged[~first[merged]] - np.int32(1)
         before = np.concatenate([last, before])
         after = before[np.argsort(text[before], kind="stable")]
         if np.array_equal(after, merged):
@@ -127,7 +127,7 @@ def repeated(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shard: np.n
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
         a, b = starts[own[0]], ends[own[-1]]  # strings stand in the order of their shards
-        orders.append(a + suffix_order(text[a:b], end_at[a:b] - a))
+        orders.append(np.int32(a) + suffix_order(text[a:b], end_at[a:b] - a))
     merged = interleave(text, starts, ends, orders, length)
     merged = merged[end_at[merged] - merged >= length]
     if not len(merged):
@@ -270,7 +270,7 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         row = np.searchsorted(ids, who)  # of repeated rows the first
         ok = (row < len(ids)) & (ids[np.minimum(row, len(ids) - 1)] == who)
         who, place, row = who[ok], place[ok], row[ok]
-        _, one = np.unique(np.stack([row, place]), axis=1, return_index=True)
+        _, one = np.unique(row << 32 | place, return_index=True)
         who, place, row = who[one], place[one], row[one]
         if not len(who):
             return none
@@ -369,6 +369,8 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a byte in sixteen is an anchor of 20 bytes: 6 MB of entries a partition; 6 MB of text a part
     parts = max(partitions(spark), int(size // 5_000_000))
+    # contexts are held with ten times their size in orders and keys: 1 MB or so a partition
+    context_parts = max(partitions(spark), int(size // 1_500_000))
     doc_parts = max(partitions(spark), int(size // 12_000_000))
     found = stage(_recurring(docs, parts, doc_parts, length, gram), "anchors")
     bits = spark.sparkContext.broadcast(_bitmap(found))
@@ -383,7 +385,7 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
             yield batch.filter(pa.array(ok.astype(bool))).select(["part", "doc_id", "text"])
 
     chosen = stage(docs.select("doc_id", "text").mapInArrow(select, "part int, doc_id long, text string"), "chosen")
-    marks = _marks(chosen, found, parts, length, gram)
+    marks = _marks(chosen, found, context_parts, length, gram)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
