@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from lakeshelf.llm import bpe, lines, packing, simhash, suffix, toxicity
+from lakeshelf.llm import bpe, forest, html, lines, packing, simhash, suffix, threshold, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def _twentieth(vec_id: Column) -> Column:
+    return vec_id % 20 == 0
+
+
+def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), _twentieth)
+
+
+def op5_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(_table(spark, sf_dir, "embeddings"), _twentieth)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(_table(spark, sf_dir, "documents"))
 
@@ -36,12 +48,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op2_simhash": op2_simhash, "op6_suffix_dedup": op6_suffix_dedup, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op10_toxicity": op10_toxicity}
+    found = [op1_packing, op2_simhash, op3_forest, op5_threshold, op6_suffix_dedup, op7_line_dedup, op8_bpe, op9_html, op10_toxicity]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
