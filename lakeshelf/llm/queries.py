@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from lakeshelf.llm import bpe, forest, html, lines, packing, simhash, suffix, threshold, toxicity
+from lakeshelf.llm import bpe, forest, html, lines, lm, packing, simhash, suffix, threshold, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"), _twentieth)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold.top_k(_table(spark, sf_dir, "embeddings"), _twentieth)
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_packing, op2_simhash, op3_forest, op5_threshold, op6_suffix_dedup, op7_line_dedup, op8_bpe, op9_html, op10_toxicity]
+    found = [op1_packing, op2_simhash, op3_forest, op4_lm, op5_threshold, op6_suffix_dedup, op7_line_dedup, op8_bpe, op9_html, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
