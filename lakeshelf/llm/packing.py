@@ -13,7 +13,10 @@ route, then by doc_id.
 
 from __future__ import annotations
 
+import json
 import os
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,56 +36,121 @@ _BUCKETS = 4096
 _QUERY_TERMS, _NEIGHBOURS = 32, 64
 _K1, _B = 1.2, 0.75
 _CACHE_WORDS = 600_000
+_WORD_END = "</w>"
 
 
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space and joins nothing across it:
-    words are encoded once and then looked up."""
+    words are encoded once and then looked up.
+
+    Most new words are letters and perhaps punctuation after them. Their merges run in one call for many,
+    with each letter's byte, and a word's last byte, as a symbol of its own; all other words go
+    through the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from lakeshelf.llm.bpe import byte_letters
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.mark = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id, self.mark = min((i, t.content) for i, t in self.mark.items())
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, vocab = byte_letters(), model["vocab"]
+        # a byte is one character: itself in ASCII, else of two bytes; a word's last byte is another one
+        self.inner = {b: chr(b) if b < 128 else chr(0x100 + b) for b in range(256)}
+        self.last = [chr(0x300 + b) for b in range(256)]
+        ranks: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        ids = np.zeros(1024 + len(model["merges"]), np.uint16)
+
+        def symbols(token: str) -> str:
+            body, end = (token[: -len(_WORD_END)], True) if token.endswith(_WORD_END) else (token, False)
+            raw = [letters[c] for c in body]
+            return "".join(self.inner[b] for b in (raw[:-1] if end else raw)) + (self.last[raw[-1]] if end else "")
+
+        for c, b in letters.items():
+            ids[b] = vocab[c]
+            for rank, text, token in ((256 + b, self.inner[b], c), (512 + b, self.last[b], c + _WORD_END)):
+                if len(text.encode()) > 1:  # joined before all merges
+                    ranks[text.encode()] = rank
+                    ids[rank] = vocab[token]
+        for k, merge in enumerate(model["merges"]):
+            token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+            ranks[symbols(token).encode()] = 1024 + k
+            ids[1024 + k] = vocab[token]
+        self.ids = ids
+        self.mark = ranks[b"\n"]
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
         self.words: dict[str, bytes] = {"": b""}
+        self.bare: dict[str, bytes] = {}
+        self.points: dict[str, bytes] = {"": b""}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def _learn(self, new: set[str]) -> None:
         if len(self.words) > _CACHE_WORDS:
             self.words = {"": b""}
-        odd = [w for w in new if "<|" in w or len(w) > 200]
-        plain = list(new.difference(odd))
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, np.uint16)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            starts = [0, *(2 * cuts + 2).tolist()]
-            ends = [*(2 * cuts).tolist(), len(raw)]
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, starts, ends, strict=True))
-        for w in odd:
-            self.words[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint16).tobytes()
+            self.bare = {}
+        plain: list[tuple[str, str, str]] = []
+        bare = self.bare
+        wanted: dict[str, str] = {}
+        for w in new:
+            core = w.rstrip(string.punctuation)
+            if core.isalpha() and len(core) <= 100 and (core.isascii() or (unicodedata.is_normalized("NFC", core) and "\u03a3" not in core)):
+                low = core.lower()
+                if not low.isascii() and not (low.isalpha() and unicodedata.is_normalized("NFC", low)):
+                    self.words[w] = self._whole(w)
+                    continue
+                plain.append((w, low, w[len(core) :]))
+                if low not in bare and low not in wanted:
+                    if low.isascii():
+                        wanted[low] = low[:-1] + self.last[ord(low[-1])]
+                    else:
+                        raw = low.encode()
+                        wanted[low] = raw[:-1].decode("latin-1").translate(self.inner) + self.last[raw[-1]]
+            else:
+                self.words[w] = self._whole(w)
+        if wanted:
+            got = np.array(self.merger.encode_ordinary("\n".join(wanted.values())), np.int64)
+            cuts = np.flatnonzero(got == self.mark)
+            raw = self.ids[got].tobytes()
+            for low, a, b in zip(wanted, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True):
+                bare[low] = raw[a:b]
+        words, points = self.words, self.points
+        for w, low, end in plain:
+            if end not in points:
+                points[end] = self._whole(end)
+            words[w] = bare[low] + points[end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        for i in range(0, len(split), 128):
-            new = set(chain.from_iterable(split[i : i + 128])).difference(self.words)
-            if new:
-                self._learn(new)
-                if len(self.words) < len(new):
-                    break
-            for j in range(i, min(i + 128, len(split))):
-                get = self.words.__getitem__
-                try:
-                    split[j] = b"".join(map(get, split[j]))  # type: ignore[call-overload]
-                except KeyError:  # the cache was emptied meanwhile
-                    self._learn(set(split[j]).difference(self.words))
-                    split[j] = b"".join(map(self.words.__getitem__, split[j]))  # type: ignore[call-overload]
-        return split  # type: ignore[return-value]
+        out: list[bytes] = []
+        for i in range(0, len(texts), 128):
+            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 128]]
+            flat = list(chain.from_iterable(split))
+            found = list(map(self.words.get, flat))
+            if None in found:
+                self._learn({w for w, f in zip(flat, found) if f is None})
+                words = self.words
+                if len(flat) > 64 * found.count(None):
+                    at = -1
+                    try:
+                        while True:
+                            at = found.index(None, at + 1)
+                            found[at] = words[flat[at]]
+                    except ValueError:
+                        pass
+                else:
+                    found = [words[w] if f is None else f for w, f in zip(flat, found)]
+            at = 0
+            for words_of in split:
+                out.append(b"".join(found[at : at + len(words_of)]))  # type: ignore[arg-type]
+                at += len(words_of)
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -128,19 +196,23 @@ class Index:
     def __init__(self, ids: list[np.ndarray]):
         n = len(ids)
         sizes = np.array([len(x) for x in ids], np.int64)
-        row = np.repeat(np.arange(n, dtype=np.uint64), sizes)
-        flat = np.concatenate(ids).astype(np.uint64)
-        key, tf = np.unique((flat << np.uint64(32) | row), return_counts=True)
-        del flat, row
-        self.docs = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        term = (key >> np.uint64(32)).astype(np.int64)
+        wide, shift = (np.uint32, 16) if n <= 1 << 16 else (np.uint64, 32)
+        key = np.concatenate(ids).astype(wide)
+        key <<= wide(shift)
+        key |= np.repeat(np.arange(n, dtype=wide), sizes)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf = np.diff(np.concatenate([first, [len(key)]]))
+        key = key[first]
+        self.docs = (key & wide((1 << shift) - 1)).astype(np.int64)
+        term = (key >> wide(shift)).astype(np.int64)
         df = np.bincount(term, minlength=1 << 16)
         self.first = np.concatenate([[0], np.cumsum(df)])
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         tf = tf.astype(np.float64)
         self.weight = idf[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * sizes[self.docs] / max(1.0, sizes.mean())))
         # the terms of each document, the most telling first
-        order = np.lexsort((term, -self.weight, self.docs))
+        order = np.argsort(self.docs * 1024.0 - self.weight, kind="stable")  # weights are below 100
         self.terms = term[order]
         self.doc_first = np.searchsorted(self.docs[order], np.arange(n + 1))
         self.n = n
