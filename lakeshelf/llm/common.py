@@ -64,6 +64,8 @@ def _powers(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    if len(have) > 1 << 22:  # only a giant row needs so many: not kept
+        del _POWERS[base]
     return have[:n]
 
 

@@ -367,11 +367,11 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     """(part, doc_id, text) of all documents that may lose bytes, and packed marks by the same part."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a byte in sixteen is an anchor of 20 bytes: 6 MB of entries a partition; 6 MB of text a part
+    # a byte in sixteen is an anchor of 20 bytes: 6 MB of entries a partition; 3 MB of text a part, for which hashes take fifty times as much
     parts = max(partitions(spark), int(size // 5_000_000))
     # contexts are held with ten times their size in orders and keys: 1 MB or so a partition
     context_parts = max(partitions(spark), int(size // 1_500_000))
-    doc_parts = max(partitions(spark), int(size // 12_000_000))
+    doc_parts = max(partitions(spark), int(size // 3_000_000))
     found = stage(_recurring(docs, parts, doc_parts, length, gram), "anchors")
     bits = spark.sparkContext.broadcast(_bitmap(found))
 
