@@ -114,7 +114,7 @@ def normalize_tags(tags: list[str] | tuple[str, ...] | None) -> list[str]:
 
 
 def tags_column(tags: Column) -> Column:
-    trimmed = F.filter(F.transform(tags, F.trim), lambda t: t != "")
+    trimmed = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")
     return F.aggregate(trimmed, F.array().cast("array<string>"), lambda out, t: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(t)), out).otherwise(F.array_append(out, t)))
 
 

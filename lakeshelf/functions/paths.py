@@ -32,7 +32,7 @@ def is_inside(folder: str, base: str) -> bool:
 
 
 def folder_column(path: Column) -> Column:
-    parts = F.transform(F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/"), F.trim)
+    parts = F.transform(F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/"), lambda p: F.trim(p))
     return F.concat(F.lit("/"), F.array_join(F.filter(parts, lambda p: (p != "") & (p != ".")), "/"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,12 @@ def search_columns(row: dict) -> dict:
     }
 
 
+@F.pandas_udf("string")
+def _leaves(metadata: pd.Series) -> pd.Series:
+    """Names and values in JSON objects; nested JSON has no flattening among Spark's functions."""
+    return metadata.map(lambda m: metadata_text(json.loads(m or "{}")))
+
+
 def check_kind(kind: str) -> str:
     if kind not in FILE_KINDS:
         raise ValidationError(f"no such kind: {kind!r}")
@@ -128,7 +135,6 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
         *(opt(c, "long", None).alias(c) for c in ("width", "height", "duration_ms")),
         opt("chunk_size", "long", d.chunk_size).alias("chunk_size"),
     )
-    leaves = F.regexp_replace(F.regexp_replace("metadata", r'(?<!\\)[{}\[\]":,]+', " "), r"\\(.)", "$1")
     df = df.withColumns(
         {
             "content_id": F.coalesce("hash", "id"),
@@ -141,8 +147,8 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
             "notes_lower": fold_column(F.col("notes")),
             "text_lower": fold_column(F.col("text")),
             "tags_lower": fold_column(F.array_join("tags", " ")),
-            "tags_key": F.transform("tags", F.lower),
-            "meta_text": fold_column(leaves),
+            "tags_key": F.transform("tags", lambda t: F.lower(t)),
+            "meta_text": fold_column(_leaves(F.col("metadata"))) if "metadata" in have else F.lit(""),
         }
     )
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in FILES), "content")

@@ -1,11 +1,283 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeshelf.functions import mime as M
+from lakeshelf.functions.misc import fit_within_columns, format_bytes_column, tags_column
+from lakeshelf.functions.paths import folder_column
+from lakeshelf.functions.text import fold_column, occurrences_column, words_column
+from lakeshelf.operators import aggregates as A
+from lakeshelf.operators import chunks as C
+from lakeshelf.operators.cursor import encode_cursor
+from lakeshelf.operators.ingest import dedupe
+from lakeshelf.operators.search import resolve_search, score_column
+from lakeshelf.operators.select import Query, matched, public, select_page
+from lakeshelf.sources.tables import EPOCH, documents_as_files, parts_as_files, table
+from lakeshelf.streaming.feed import events_per_window
+
+Run = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Run] = {}
+_SQL: dict[str, str] = {}
+
+_FOLD = "trim(regexp_replace(replace(replace(replace(lower(strip_accents({})),'ß','ss'),'œ','oe'),'æ','ae'),'\\s+',' ','g'))"
+_DOCS = f"""files AS (
+  SELECT lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS id, d.doc_id, 'doc-' || d.doc_id || '.txt' AS name, 'text' AS kind, 'text/plain' AS mime,
+    'txt' AS extension, CAST(strlen(coalesce(d.text, '')) AS BIGINT) AS size, 'sha256:' || sha256(coalesce(d.text, '')) AS hash, [d.lang, d.source] AS tags,
+    '/docs/' || d.lang || '/' || d.source AS folder, coalesce(l.quality, 0) AS favorite, CASE WHEN l.toxic = 1 THEN {EPOCH} ELSE 0 END AS deleted_at,
+    {EPOCH} + d.doc_id * 1000 AS created_at, {_FOLD.format("coalesce(d.text, '')")} AS text_lower, d.lang, d.source, d.n_chars
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_PARTS = f"""files AS (
+  SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS id, p_name || '.json' AS name, string_split(p_name, ' ') AS tags, p_brand AS brand, p_type AS type,
+    CAST(p_size AS BIGINT) AS size, '/parts/' || p_brand AS folder, {EPOCH} + p_partkey * 1000 AS created_at FROM part)"""
+
+
+def _add(name: str, run: Run, sql: str | None = None) -> None:
+    _QUERIES[name] = run
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def _filter(name: str, where: dict, condition: str, source: Callable = documents_as_files, live: bool = True) -> None:
+    """Ids and sizes of the rows that a where picks."""
+    base = _DOCS if source is documents_as_files else _PARTS
+    alive = "deleted_at = 0 AND " if live and source is documents_as_files else ""
+    _add(name, lambda spark, d: matched(source(spark, d), where, None)[0].select("id", "size"), f"WITH {base} SELECT id, size FROM files WHERE {alive}({condition})")
+
+
+_IDS = [f"{k:012d}" for k in (1, 5, 7, 20, 77, 150)]
+_T0 = EPOCH + 100_000
+_filter("filter_id_in", {"id": _IDS}, "id IN (" + ", ".join(f"'{i}'" for i in _IDS) + ")")
+_filter("filter_id_empty_list", {"id": []}, "false")
+_filter("filter_kind_in", {"kind": ["text", "image"]}, "kind IN ('text', 'image')")
+_filter("filter_hash", {"hash": ["sha256:" + "0" * 64, ""]}, "hash IN ('sha256:" + "0" * 64 + "')")
+_filter("filter_name_literal", {"name": ["DOC-7.TXT", "doc-8.txt"]}, "lower(name) IN ('doc-7.txt', 'doc-8.txt')")
+_filter("filter_string_ops", {"name": {"startsWith": "Doc-1", "endsWith": "5.TXT", "contains": "1", "ne": "doc-15.txt", "notIn": ["doc-105.txt"]}}, "lower(name) LIKE 'doc-1%5.txt' AND lower(name) NOT IN ('doc-15.txt', 'doc-105.txt')")
+_filter("filter_name_regex", {"name": {"regex": "^DOC-[0-9]{2}\\.", "flags": "i"}}, "regexp_matches(name, '^doc-[0-9]{2}\\.')")
+_filter("filter_mime_extension", {"mime": {"startsWith": "TEXT/"}, "extension": {"in": ["TXT", "md"]}}, "mime LIKE 'text/%' AND extension IN ('txt', 'md')")
+_filter("filter_size_bounds", {"size": {"gt": 500, "gte": 400, "lt": 3000, "lte": 5000, "ne": 1000}}, "size > 500 AND size < 3000 AND size <> 1000")
+_filter("filter_between", {"size": {"between": [1000, 2000]}}, "size BETWEEN 1000 AND 2000")
+_filter("filter_contradiction", {"size": {"gt": 10, "lt": 5}}, "size > 10 AND size < 5")
+_filter("filter_created_range", {"created_at": {"gte": _T0, "lt": _T0 + 300_000}}, f"created_at >= {_T0} AND created_at < {_T0 + 300_000}")
+_filter("filter_folder_exact", {"folder": ["docs//en/./src0/", "/docs/fr/src1"]}, "folder IN ('/docs/en/src0', '/docs/fr/src1')")
+_filter("filter_folder_subtree", {"folder": {"startsWith": "/docs/de"}}, "folder = '/docs/de' OR folder LIKE '/docs/de/%'")
+_filter("filter_tags_all", {"tags": {"all": ["EN", "src0"]}}, "list_contains(tags, 'en') AND list_contains(tags, 'src0')")
+_filter("filter_tags_any", {"tags": {"any": ["fr", "src3"]}}, "list_contains(tags, 'fr') OR list_contains(tags, 'src3')")
+_filter("filter_tags_none", {"tags": {"none": ["en", "src1"]}}, "NOT list_contains(tags, 'en') AND NOT list_contains(tags, 'src1')")
+_filter("filter_favorite", {"favorite": True}, "favorite = 1")
+_filter("filter_deleted", {"deleted": True}, "deleted_at > 0", live=False)
+_filter("filter_metadata_eq", {"metadata": {"origin": {"source": "src2"}}}, "source = 'src2'")
+_filter("filter_metadata_path", {"metadata": {"origin.source": "src2", "lang": "en"}}, "source = 'src2' AND lang = 'en'")
+_filter("filter_metadata_anyof", {"metadata": {"brand": ["Brand#2", "Brand#3"]}}, "brand IN ('Brand#2', 'Brand#3')", parts_as_files)
+_filter("filter_metadata_index", {"metadata": {"labels.1": "Brand#2"}}, "brand = 'Brand#2'", parts_as_files)
+_filter("filter_metadata_contains", {"metadata_contains": {"brand": "BRAND#2"}}, "contains(lower(brand), 'brand#2')", parts_as_files)
+_filter("filter_custom", {"custom": (F.col("size") % 7 == 0)}, "size % 7 = 0")
+_filter("filter_custom_python", {"custom": lambda r: r["size"] % 5 == 0}, "size % 5 = 0")
+
+# --- order and pages ---
+
+
+def _page(source: Callable, **query: object) -> Run:
+    return lambda spark, d: select_page(source(spark, d), Query(**query)).rows.select("id", "name", "size")  # type: ignore[arg-type]
+
+
+_add("sort_multi_key", _page(documents_as_files, sort=[{"field": "favorite", "order": "desc"}, {"field": "size"}], limit=50), f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 ORDER BY favorite DESC, size, id LIMIT 50")
+_add("sort_natural_name", _page(documents_as_files, sort="name", limit=40), f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 ORDER BY doc_id LIMIT 40")
+_add("page_default", _page(documents_as_files), f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 ORDER BY created_at DESC, id LIMIT 100")
+_add("page_limit_offset", _page(documents_as_files, sort={"field": "size", "order": "desc"}, limit=25, offset=30), f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 ORDER BY size DESC, id LIMIT 25 OFFSET 30")
+_add(
+    "page_cursor",
+    _page(documents_as_files, sort=[{"field": "folder"}, {"field": "created_at", "order": "desc"}], limit=30, cursor=encode_cursor(["/docs/en/src1", EPOCH + 400_000], "000000000400")),
+    f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 AND (lang > 'en' OR lang = 'en' AND (CAST(source[4:] AS INT) > 1 OR CAST(source[4:] AS INT) = 1 AND (created_at < {EPOCH + 400_000} OR created_at = {EPOCH + 400_000} AND id > '000000000400'))) ORDER BY lang, CAST(source[4:] AS INT), created_at DESC, id LIMIT 30",
+)
+_add("all_records", lambda spark, d: public(matched(documents_as_files(spark, d), {}, None)[0]).select("id", "name", "favorite", "deleted", "revision"), f"WITH {_DOCS} SELECT id, name, favorite = 1 AS favorite, false AS deleted, CAST(1 AS BIGINT) AS revision FROM files WHERE deleted_at = 0")
+_add("first_match", _page(documents_as_files, where={"tags": ["fr"]}, sort={"field": "size", "order": "desc"}, limit=1), f"WITH {_DOCS} SELECT id, name, size FROM files WHERE deleted_at = 0 AND list_contains(tags, 'fr') ORDER BY size DESC, id LIMIT 1")
+
+# --- search ---
+
+_WEIGHTS = {"text": ("text_lower", 2), "tags": ("array_to_string(tags, ' ')", 9), "name": ("regexp_replace(name, '\\s+', ' ')", 12), "folder": ("folder", 5), "mime": ("mime", 3), "notes": ("''", 4)}
+
+
+def _token_sql(field: str, token: str, fuzzy: bool) -> str:
+    at = f"strpos({field}, '{token}')"
+    near = f"WHEN len(list_filter(regexp_split_to_array({field}, '[^a-z0-9]+'), lambda x: length(x) >= 4 AND levenshtein(x, '{token}') <= 1)) > 0 THEN CAST(0.35 AS DOUBLE) " if fuzzy and len(token) >= 4 else ""
+    return (
+        f"CASE WHEN {at} > 0 THEN CAST(CASE WHEN {at} = 1 OR NOT regexp_matches(substr({field}, {at} - 1, 1), '[a-z0-9]') THEN 1.0 ELSE 0.6 END AS DOUBLE) "
+        f"+ CAST(0.15 AS DOUBLE) * least((length({field}) - length(replace({field}, '{token}', ''))) // {len(token)} - 1, 3) {near}ELSE CAST(0 AS DOUBLE) END"
+    )
+
+
+def _search(name: str, search: dict, where: dict | None = None, condition: str = "true") -> None:
+    resolved = resolve_search(search)
+    assert resolved is not None
+    fields = [f for f in resolved.fields if f in _WEIGHTS]
+    best = ["greatest(" + ", ".join(f"{_WEIGHTS[f][1]} * ({_token_sql(_WEIGHTS[f][0], t, resolved.fuzzy)})" for f in fields) + ")" for t in resolved.tokens]
+    hit = (" AND " if resolved.every else " OR ").join(f"{b} > 0" for b in best)
+    phrase = " OR ".join(f"contains({_WEIGHTS[f][0]}, '{resolved.phrase}')" for f in fields) if len(best) > 1 else "false"
+    sql = f"WITH {_DOCS} SELECT id, round(({' + '.join(best)} + CASE WHEN {phrase} THEN 6 ELSE 0 END) * CAST({resolved.boost} AS DOUBLE), 6) AS score FROM files WHERE deleted_at = 0 AND ({condition}) AND ({hit})"
+    _add(name, lambda spark, d: matched(documents_as_files(spark, d), where, search)[0].select("id", F.round("score", 6).alias("score")), sql)
+
+
+_BODY = ["name", "tags", "folder", "mime", "notes", "text"]
+_search("search_all", {"text": "the with", "fields": _BODY})
+_search("search_any", {"text": "über src3 ouwhea", "mode": "any", "fields": _BODY})
+_search("search_fields", {"text": "en", "fields": ["tags", "folder"]})
+_search("search_fuzzy", {"text": "theh onth", "fuzzy": True, "mode": "any", "fields": ["text"]})
+_search("search_phrase_boost", {"text": "of the", "boost": 1.5, "fields": ["text"]})
+_search("search_with_filter", {"text": "doc txt", "fields": ["name", "text"]}, {"folder": {"startsWith": "/docs/en"}, "size": {"gte": 1000}}, "folder LIKE '/docs/en/%' AND size >= 1000")
+
+# --- aggregates ---
+
+_add("count_matches", lambda spark, d: matched(documents_as_files(spark, d), {"tags": ["en"]}, None)[0].agg(F.count("*").alias("n")), f"WITH {_DOCS} SELECT count(*) AS n FROM files WHERE deleted_at = 0 AND list_contains(tags, 'en')")
+_add(
+    "facets_summary",
+    lambda spark, d: A.facet_summary(matched(documents_as_files(spark, d), {}, None)[0]),
+    f"WITH {_DOCS} SELECT count(*) AS count, CAST(sum(size) AS BIGINT) AS total_size, min(size) AS min_size, max(size) AS max_size, min(created_at) AS oldest, max(created_at) AS newest FROM files WHERE deleted_at = 0",
+)
+for _facet, _value in (("kind", "kind"), ("extension", "extension"), ("folder", "folder"), ("tag", "unnest(tags)")):
+    _add(
+        f"facets_{_facet}",
+        lambda spark, d, f=_facet: A.facet_values(matched(documents_as_files(spark, d), {}, None)[0]).where(F.col("facet") == f),
+        f"WITH {_DOCS}, v AS (SELECT {_value} AS value FROM files WHERE deleted_at = 0) SELECT '{_facet}' AS facet, value, count(*) AS count FROM v GROUP BY value",
+    )
+_add(
+    "folder_tree_rollup",
+    lambda spark, d: A.folder_tree(documents_as_files(spark, d)),
+    f"WITH {_DOCS}, p AS (SELECT unnest(['/', '/docs', '/docs/' || lang, folder]) AS path FROM files WHERE deleted_at = 0) SELECT path, count(*) AS count FROM p GROUP BY path",
+)
+_add(
+    "stats_summary",
+    lambda spark, d: A.stats_summary(documents_as_files(spark, d)),
+    f"WITH {_DOCS} SELECT count(*) FILTER (deleted_at = 0) AS count, CAST(coalesce(sum(size) FILTER (deleted_at = 0), 0) AS BIGINT) AS size, count(*) FILTER (deleted_at > 0) AS trashed_count, CAST(coalesce(sum(size) FILTER (deleted_at > 0), 0) AS BIGINT) AS trashed_size, min(created_at) FILTER (deleted_at = 0) AS oldest, max(created_at) FILTER (deleted_at = 0) AS newest FROM files",
+)
+for _by in ("kind", "mime"):
+    _add(f"stats_by_{_by}", lambda spark, d, c=_by: A.stats_by(documents_as_files(spark, d), c), f"WITH {_DOCS} SELECT {_by}, count(*) AS count, CAST(sum(size) AS BIGINT) AS size FROM files WHERE deleted_at = 0 GROUP BY {_by}")
+
+# --- contents ---
+
+_CHUNK = 1024
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each distinct text, by its hash."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("content_id"), text.alias("data"))
+    return docs.dropDuplicates(["content_id"])
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.split(_contents(spark, d), _CHUNK)
+
+
+_SIZES = "c AS (SELECT 'sha256:' || sha256(coalesce(text, '')) AS content_id, CAST(max(strlen(coalesce(text, ''))) AS BIGINT) AS size FROM documents GROUP BY 1)"
+_add("chunk_layout", lambda spark, d: _chunks(spark, d).groupBy("content_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("data")).alias("size")), f"WITH {_SIZES} SELECT content_id, greatest(1, CAST(ceil(size / {_CHUNK}.0) AS BIGINT)) AS chunks, size FROM c")
+_add("physical_size", lambda spark, d: C.physical_size(_chunks(spark, d)), f"WITH {_SIZES} SELECT CAST(sum(size) AS BIGINT) AS physical_size FROM c")
+_add("read_whole", lambda spark, d: C.assemble(_chunks(spark, d)).select("content_id", F.concat(F.lit("sha256:"), F.sha2("data", 256)).alias("hash")), f"WITH {_SIZES} SELECT content_id, content_id AS hash FROM c")
+
+
+def _read_range(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes 1000 to 3000 of each content, from the chunks they overlap."""
+    near = _chunks(spark, d).where(F.col("index").between(1000 // _CHUNK, 2999 // _CHUNK))
+    return C.assemble(near).select("content_id", F.sha2(F.substring("data", 1000 % _CHUNK + 1 if 1000 >= _CHUNK else 1001, 2000), 256).alias("hash"))
+
+
+_add("read_range", _read_range)
+_add("content_refcount", lambda spark, d: C.reference_counts(documents_as_files(spark, d)), f"WITH {_DOCS} SELECT hash AS content_id, count(*) AS \"references\" FROM files GROUP BY hash")
+_add("distinct_contents", lambda spark, d: _chunks(spark, d).select("content_id").distinct(), f"WITH {_SIZES} SELECT content_id FROM c")
+_add("dedupe_by_hash", lambda spark, d: dedupe(documents_as_files(spark, d), documents_as_files(spark, d).where("id < '000000000100'")).select("id"), f"WITH {_DOCS} SELECT min(id) AS id FROM files f WHERE hash NOT IN (SELECT hash FROM files WHERE id < '000000000100' AND deleted_at = 0) GROUP BY hash")
+_add(
+    "orphan_chunks",
+    lambda spark, d: C.orphans(_chunks(spark, d), documents_as_files(spark, d).where("deleted_at = 0")).select("content_id", "index"),
+    f"WITH {_DOCS}, {_SIZES} SELECT content_id, CAST(unnest(range(greatest(1, CAST(ceil(size / {_CHUNK}.0) AS BIGINT)))) AS INT) AS index FROM c WHERE content_id NOT IN (SELECT hash FROM files WHERE deleted_at = 0)",
+)
+
+
+def _thumbs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"))
+
+
+_add("orphan_thumbnails", lambda spark, d: C.orphan_thumbnails(_thumbs(spark, d), documents_as_files(spark, d).where("deleted_at = 0")), f"WITH {_DOCS} SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') AS id FROM pages WHERE lpad(CAST(page_id AS VARCHAR), 12, '0') NOT IN (SELECT id FROM files WHERE deleted_at = 0)")
+_add(
+    "backup_join",
+    lambda spark, d: documents_as_files(spark, d).join(C.assemble(_chunks(spark, d)), "content_id", "left").select("id", F.octet_length("data").cast("long").alias("size")),
+    f"WITH {_DOCS} SELECT id, size FROM files",
+)
+_add(
+    "migrate_chunks",
+    lambda spark, d: C.migrate(C.split(documents_as_files(spark, d).join(_contents(spark, d), "content_id").select(F.col("id").alias("content_id"), "data"), _CHUNK).withColumnRenamed("content_id", "file_id"), documents_as_files(spark, d)).groupBy("content_id").agg(F.count("*").alias("chunks")),
+    f"WITH {_SIZES} SELECT content_id, greatest(1, CAST(ceil(size / {_CHUNK}.0) AS BIGINT)) AS chunks FROM c",
+)
+
+
+def _current(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user, but for those that ended by an error: the log's present state."""
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return last.where("event_type <> 'error'")
+
+
+_add("current_state", _current, "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly counts of the event table, read as a stream to its present end."""
+    name = "events_per_hour"
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = events_per_window(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.unix_seconds("window.start").alias("hour"), "event_type", "count")
+
+
+_add("stream_events_per_hour", _stream, "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+
+# --- functions ---
+
+_add("text_normalization", lambda spark, d: table(spark, d, "documents").select("doc_id", F.md5(fold_column(F.coalesce("text", F.lit("")))).alias("folded")), f"SELECT doc_id, md5({_FOLD.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) AS folded FROM documents")
+_add("token_counts", lambda spark, d: table(spark, d, "documents").select("doc_id", F.size(words_column(fold_column(F.coalesce("text", F.lit(""))))).alias("words"), occurrences_column(F.coalesce("text", F.lit("")), "th").alias("th")), f"SELECT doc_id, CAST(len(regexp_extract_all({_FOLD.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}, '[\\p{{L}}\\p{{N}}]+')) AS INT) AS words, CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'th', ''))) // 2 AS INT) AS th FROM documents")
+_add("folder_normalization", lambda spark, d: table(spark, d, "documents").select("doc_id", folder_column(F.concat(F.lit(" "), F.col("lang"), F.lit("\\"), F.col("source"), F.lit("/./ sub /"))).alias("folder")), "SELECT doc_id, '/' || lang || '/' || source || '/sub' AS folder FROM documents")
+_add("tag_normalization", lambda spark, d: table(spark, d, "documents").select("doc_id", F.array_join(tags_column(F.array(F.concat(F.lit(" "), F.col("lang")), F.upper("lang"), F.lit(" "), F.col("source"))), ",").alias("tags")), "SELECT doc_id, lang || ',' || source AS tags FROM documents")
+_add(
+    "mime_kind_derivation",
+    lambda spark, d: table(spark, d, "pages").withColumn("name", F.concat(F.lit("a/b.c/file."), F.element_at(F.array(*(F.lit(x) for x in ("PNG", "md", "docx", "ts", "json", "zip", "bin"))), (F.col("page_id") % 7 + 1).cast("int")))).select("page_id", M.extension_column(F.col("name")).alias("extension"), M.mime_column(F.col("name")).alias("mime"), M.kind_column(M.mime_column(F.col("name"))).alias("kind")),
+    "SELECT page_id, ['png','md','docx','ts','json','zip','bin'][page_id % 7 + 1] AS extension, ['image/png','text/markdown','application/vnd.openxmlformats-officedocument.wordprocessingml.document','text/typescript','application/json','application/zip','application/octet-stream'][page_id % 7 + 1] AS mime, ['image','text','document','code','code','archive','other'][page_id % 7 + 1] AS kind FROM pages",
+)
+_add("format_bytes", lambda spark, d: table(spark, d, "orders").select("o_orderkey", format_bytes_column(F.col("o_orderkey") * 256).alias("text")), "SELECT o_orderkey, CASE WHEN o_orderkey * 256 < 1024 THEN (o_orderkey * 256) || ' B' WHEN o_orderkey * 256 < 1048576 THEN regexp_replace(CAST(round(o_orderkey * 256 / 1024.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' KB' ELSE regexp_replace(CAST(round(o_orderkey * 256 / 1048576.0::DOUBLE, 1) AS VARCHAR), '\\.0$', '') || ' MB' END AS text FROM orders")
+
+
+def _fit(spark: SparkSession, d: str) -> DataFrame:
+    w, h = fit_within_columns(F.col("p_size") * 20, F.col("p_partkey") % 900, 256)
+    return table(spark, d, "part").select("p_partkey", w.alias("width"), h.alias("height"))
+
+
+_SCALE = "CASE WHEN greatest(p_size * 20, p_partkey % 900) > 0 THEN least(CAST(1 AS DOUBLE), CAST(256 AS DOUBLE) / greatest(p_size * 20, p_partkey % 900)) ELSE 1 END"
+_add("fit_within", _fit, f"SELECT p_partkey, CAST(greatest(1, floor(p_size * 20 * {_SCALE} + 0.5)) AS BIGINT) AS width, CAST(greatest(1, floor((p_partkey % 900) * {_SCALE} + 0.5)) AS BIGINT) AS height FROM part")
+_add("content_hash", lambda spark, d: documents_as_files(spark, d).select("id", "hash"), f"WITH {_DOCS} SELECT id, hash FROM files")
+_add("metadata_flatten", lambda spark, d: documents_as_files(spark, d).select("id", "meta_text"), f"WITH {_DOCS} SELECT id, 'lang ' || lang || ' length ' || n_chars || ' source ' || source AS meta_text FROM files")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live English documents of some size that match a search, best first."""
+    query = Query(where={"folder": {"startsWith": "/docs/en"}, "size": {"gte": 200}}, search="the", limit=24)
+    return select_page(documents_as_files(spark, sf_dir), query).rows.select("id", "name", "size", "score", "created_at")
+
+
+_add("flagship", flagship)
+
+
+def scored(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Every live document with its score for a text, null where it doesn't match."""
+    resolved = resolve_search(text)
+    assert resolved is not None
+    return documents_as_files(spark, sf_dir).select("id", score_column(resolved).alias("score"))
+
+
+def queries() -> dict[str, Run]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
