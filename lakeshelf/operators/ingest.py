@@ -6,8 +6,9 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeshelf.errors import ValidationError
 from lakeshelf.functions import mime as M
@@ -41,10 +42,13 @@ def search_columns(row: dict) -> dict:
     }
 
 
-@F.pandas_udf("string")
-def _leaves(metadata: pd.Series) -> pd.Series:
+def _leaves(metadata: Column) -> Column:
     """Names and values in JSON objects; nested JSON has no flattening among Spark's functions."""
-    return metadata.map(lambda m: metadata_text(json.loads(m or "{}")))
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda m: metadata_text(json.loads(m or "{}")))
+
+    return F.pandas_udf(run, T.StringType())(metadata)
 
 
 def check_kind(kind: str) -> str:

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeshelf.errors import ValidationError
 from lakeshelf.functions.paths import inside_column, json_equals, normalize_folder, variant_at
@@ -141,11 +142,10 @@ def custom_clause(test: Callable | Column, columns: list[str]) -> Column:
     if isinstance(test, Column):
         return test
 
-    @F.pandas_udf("boolean")
     def run(rows: pd.DataFrame) -> pd.Series:
         return pd.Series([bool(test(r)) for r in rows.to_dict("records")], dtype=bool)
 
-    return run(F.struct(*columns))
+    return F.pandas_udf(run, T.BooleanType())(F.struct(*columns))
 
 
 PUBLIC = "id name kind mime extension size hash tags folder favorite deleted_at notes metadata width height duration_ms created_at updated_at accessed_at revision".split()
