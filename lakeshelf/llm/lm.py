@@ -217,8 +217,9 @@ def train(model: Model, history: np.ndarray, target: np.ndarray, noise: np.ndarr
     log_noise = np.log(NOISE * np.maximum(noise, 1e-12)).astype(np.float32)
     cumulative = np.cumsum(noise)
     past_c, past_o = np.full_like(model.context, 1e-2), np.full_like(model.output, 1e-2)
-    for i in range(0, len(order), BATCH):
-        some = order[i : i + BATCH]
+    batch = max(64, min(BATCH, len(order) // 250))  # a small block has as many steps as a large one
+    for i in range(0, len(order), batch):
+        some = order[i : i + batch]
         hist, goal = history[some], target[some]
         drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), _K - 1)
         h = model.predict(hist)
