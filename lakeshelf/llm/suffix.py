@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import RangeHasher, documents, drop_stage, partitions, pieces, stage, text_buffer
+from lakeshelf.llm.common import RangeHasher, documents, partitions, pieces, stage, text_buffer
 
 LENGTH = 50
 GRAM = 20
@@ -158,6 +159,33 @@ def _doc_bit(ids: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
 
 
+def _squeeze(values: np.ndarray, steps: bool = False) -> bytes:
+    """Packed values; with steps, their differences are packed, as ids of neighbours are near."""
+    if steps and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _join(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.empty(0, kind)
+
+
+def _spread(table: pa.Table, column: str, kind: type, steps: bool = False) -> np.ndarray:
+    """The values of all packed rows of a column."""
+    out = []
+    for raw in table[column].to_pylist():
+        values = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+        out.append(np.cumsum(values) if steps else values)
+    return _join(out, kind)
+
+
+def _texts(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, bytes and offsets of the documents in packed rows; a repeated id counts once."""
+    ids, sizes = _spread(docs, "docs", np.int64, True), _spread(docs, "sizes", np.uint32).astype(np.int64)
+    data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in docs["texts"].to_pylist()), np.uint8)
+    return ids, data, np.concatenate([[0], np.cumsum(sizes)])
+
+
 def _by(part: np.ndarray) -> list[np.ndarray]:
     order = np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
     return np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
@@ -171,9 +199,8 @@ def _bitmap(rows: DataFrame) -> np.ndarray:
     """Which of 2 ** _MAP_BITS hash values the doc ids in packed rows (docs binary) have: 8 MB at most."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column("docs"):
-                bit = np.unique(_doc_bit(np.frombuffer(blob.as_buffer(), np.int64)))
-                yield _batch({"bit": (bit + 1, pa.int64())})  # buckets count from 1 for values from 1
+            bit = np.unique(_doc_bit(_spread(pa.Table.from_batches([batch]), "docs", np.int64, True)))
+            yield _batch({"bit": (bit + 1, pa.int64())})  # buckets count from 1 for values from 1
 
     found = rows.select("docs").mapInArrow(bits, "bit long")
     maps = found.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
@@ -217,21 +244,30 @@ def _recurring(docs: DataFrame, parts: int, doc_parts: int, length: int, gram: i
                 if len(local):
                     for p in _by(_doc_part(ids[local], doc_parts)):
                         p = local[p]
-                        out.append((int(h[p[0]] % np.uint64(parts)), int(_doc_part(ids[p[:1]], doc_parts)[0]), b"", ids[p].tobytes(), place[p].tobytes()))
-                # one entry for each hash
+                        out.append((int(h[p[0]] % np.uint64(parts)), int(_doc_part(ids[p[:1]], doc_parts)[0]), b"", _squeeze(ids[p], True), _squeeze(place[p])))
+                # one entry for each hash, of which 47 bits are enough: a chance hit only costs a context
                 single = np.flatnonzero(head)
-                target = (h[single] >> np.uint64(8)) % np.uint64(parts)
+                short = h[single] >> np.uint64(17)
+                target = short % np.uint64(parts)
                 for p in _by(target.astype(np.int64)):
                     q = single[p]
-                    out.append((int(target[p[0]]), -1, (h[q] & ~np.uint64(1) | again[q]).tobytes(), ids[q].tobytes(), place[q].tobytes()))
+                    key = short[p] << np.uint64(1) | again[q]
+                    raw = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (key >> np.uint64(32)).astype(np.uint16).tobytes()
+                    out.append((int(target[p[0]]), -1, raw, _squeeze(ids[q], True), _squeeze(place[q])))
                 yield _batch({"part": ([o[0] for o in out], pa.int32()), "to": ([o[1] for o in out], pa.int32()), "keys": ([o[2] for o in out], pa.binary()), "docs": ([o[3] for o in out], pa.binary()), "places": ([o[4] for o in out], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         to = table["to"].to_numpy()
         out = [(int(t), d.as_py(), p.as_py()) for t, d, p in zip(to, table["docs"], table["places"]) if t >= 0]
         own = table.filter(pa.array(to < 0))
-        key, ids = (np.frombuffer(b"".join(own[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("docs", np.int64)))
-        place = np.frombuffer(b"".join(own["places"].to_pylist()), np.uint32)
+        low, high = [], []
+        for k in own["keys"].to_pylist():
+            n = len(k) // 6
+            low.append(np.frombuffer(k, np.uint32, n))
+            high.append(np.frombuffer(k, np.uint16, n, 4 * n))
+        key = _join(low, np.uint32).astype(np.uint64) | _join(high, np.uint16).astype(np.uint64) << np.uint64(32)
+        del low, high
+        ids, place = _spread(own, "docs", np.int64, True), _spread(own, "places", np.uint32)
         h, sent = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
         order = np.argsort(h)
         same = h[order][1:] == h[order][:-1]
@@ -241,7 +277,7 @@ def _recurring(docs: DataFrame, parts: int, doc_parts: int, length: int, gram: i
         found = np.flatnonzero(again & ~sent)
         for p in _by(_doc_part(ids[found], doc_parts)):
             p = found[p]
-            out.append((int(_doc_part(ids[p[:1]], doc_parts)[0]), ids[p].tobytes(), place[p].tobytes()))
+            out.append((int(_doc_part(ids[p[:1]], doc_parts)[0]), _squeeze(ids[p], True), _squeeze(place[p])))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "docs": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary())})
 
     packed = docs.select("doc_id", "text").mapInArrow(scatter, "part int, to int, keys binary, docs binary, places binary")
@@ -255,7 +291,7 @@ def _read(table: pa.Table, column: str, kind: type) -> np.ndarray:
 def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
     """Packed rows (part, docs, places, masks): bit k of a mask, that the string at place + k goes.
 
-    docs has doc_id, text and part."""
+    docs are packed documents by part."""
     reach = length - gram
 
     def contexts(docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -263,13 +299,13 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         none = pa.table({k: pa.array([], t) for k, t in names.items()})
         if not docs.num_rows or not found.num_rows:
             return none
-        docs = docs.sort_by("doc_id")
-        data, offsets = text_buffer(docs["text"])
-        ids = docs["doc_id"].to_numpy()
-        who, place = _read(found, "docs", np.int64), _read(found, "places", np.uint32).astype(np.int64)
+        own, data, offsets = _texts(docs)
+        order = np.argsort(own, kind="stable")
+        ids = own[order]
+        who, place = _spread(found, "docs", np.int64, True), _spread(found, "places", np.uint32).astype(np.int64)
         row = np.searchsorted(ids, who)  # of repeated rows the first
         ok = (row < len(ids)) & (ids[np.minimum(row, len(ids) - 1)] == who)
-        who, place, row = who[ok], place[ok], row[ok]
+        who, place, row = who[ok], place[ok], order[row[ok]]
         _, one = np.unique(row << 32 | place, return_index=True)
         who, place, row = who[one], place[one], row[one]
         if not len(who):
@@ -294,20 +330,27 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         strings = high - low - length + 1
         if len(settled):
             mask = (np.uint64(1) << strings[settled].astype(np.uint64)) - np.uint64(1)
-            add(1, 0, b"", who[settled].tobytes(), low[settled].tobytes(), b"", b"", mask.tobytes())
+            add(1, int(_doc_part(who[settled[:1]], parts)[0]), b"", _squeeze(who[settled], True), _squeeze(low[settled].astype(np.uint32)), b"", b"", _squeeze(mask.astype(np.uint32)))
         sent = order[who[order] == who[leader]]  # all the places that the least document has it at
         sent = sent[strings[sent] > 0]
         target = (key[sent] >> np.uint64(16)) % np.uint64(parts)
         for p in _by(target.astype(np.int64)):
             q = sent[p]
-            text = b"".join(data[s:e].tobytes() for s, e in zip(a[q], b[q]))
-            add(0, int(target[p[0]]), key[q].tobytes(), who[q].tobytes(), low[q].tobytes(), (b - a)[q].tobytes(), text, b"")
+            q = q[np.argsort(row[q] << 32 | low[q])]  # neighbours share most of their bytes
+            text = zstandard.ZstdCompressor(3).compress(b"".join([data[s:e].tobytes() for s, e in zip(a[q], b[q])]))
+            add(0, int(target[p[0]]), key[q].tobytes(), _squeeze(who[q], True), _squeeze(low[q].astype(np.uint32)), (b - a)[q].astype(np.uint8).tobytes(), text, b"")
         return pa.table({k: pa.array(out[k], t) for k, t in names.items()})
 
     def merge(table: pa.Table) -> pa.Table:
-        key, who, low, size = (_read(table, c, t) for c, t in (("keys", np.uint64), ("docs", np.int64), ("places", np.int64), ("sizes", np.int64)))
-        text = _read(table, "texts", np.uint8)
-        count = np.array([len(x.as_buffer()) // 8 for x in table["docs"]])
+        kind = table["kind"].to_numpy()
+        through = table.filter(pa.array(kind == 1)).select(["docs", "places", "masks"])  # settled before
+        table = table.filter(pa.array(kind == 0))
+        if not table.num_rows:
+            return through
+        key, who, low = _read(table, "keys", np.uint64), _spread(table, "docs", np.int64, True), _spread(table, "places", np.uint32)
+        size = _read(table, "sizes", np.uint8).astype(np.int64)
+        text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x) for x in table["texts"].to_pylist()), np.uint8)
+        count = np.array([len(x.as_buffer()) for x in table["sizes"]])
         source = np.repeat(np.arange(len(count)), count) % _SHARDS
         end = np.cumsum(size)
         start = end - size
@@ -339,21 +382,17 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         gone[order[twins]] = gone[first[twins]]
         hit = np.flatnonzero(gone)
         if not len(hit):
-            return pa.table({"docs": pa.array([], pa.binary()), "places": pa.array([], pa.binary()), "masks": pa.array([], pa.binary())})
-        return pa.table({"docs": pa.array([who[hit].tobytes()], pa.binary()), "places": pa.array([low[hit].tobytes()], pa.binary()), "masks": pa.array([gone[hit].tobytes()], pa.binary())})
+            return through
+        return pa.concat_tables([through, pa.table({"docs": pa.array([_squeeze(who[hit], True)], pa.binary()), "places": pa.array([_squeeze(low[hit])], pa.binary()), "masks": pa.array([_squeeze(gone[hit].astype(np.uint32))], pa.binary())})])
 
-    near = stage(
-        docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(contexts, "kind int, part int, keys binary, docs binary, places binary, sizes binary, texts binary, masks binary"),
-        "contexts",
-    )
-    merged = near.where("kind = 0").groupBy("part").applyInArrow(merge, "docs binary, places binary, masks binary")
-    return near.where("kind = 1").select("docs", "places", "masks").union(merged)
+    near = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(contexts, "kind int, part int, keys binary, docs binary, places binary, sizes binary, texts binary, masks binary")
+    return near.groupBy("part").applyInArrow(merge, "docs binary, places binary, masks binary")
 
 
 def covered(size: int, places: np.ndarray, masks: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which of size bytes the marked strings cover."""
     change = np.zeros(size + 1, np.int64)
-    for k in range(64):
+    for k in range(32):
         hit = places[(masks >> np.uint64(k)) & np.uint64(1) == 1] + k
         if len(hit):
             starts = np.bincount(hit, minlength=size + 1)
@@ -364,7 +403,7 @@ def covered(size: int, places: np.ndarray, masks: np.ndarray, length: int = LENG
 
 
 def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """(part, doc_id, text) of all documents that may lose bytes, and packed marks by the same part."""
+    """Packed documents (part, docs, sizes, texts) that may lose bytes, and packed marks by the same part."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a byte in sixteen is an anchor of 20 bytes: 6 MB of entries a partition; 3 MB of text a part, for which hashes take fifty times as much
@@ -378,22 +417,31 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = bits.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            bit = _doc_bit(ids)
-            ok = (have[bit >> 3] >> (7 - (bit & 7))) & 1
-            batch = batch.append_column("part", pa.array(_doc_part(ids, doc_parts).astype(np.int32)))
-            yield batch.filter(pa.array(ok.astype(bool))).select(["part", "doc_id", "text"])
-
-    chosen = stage(docs.select("doc_id", "text").mapInArrow(select, "part int, doc_id long, text string"), "chosen")
+            data, offsets = text_buffer(batch.column("text"))
+            all_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for i, j in pieces(offsets, 1 << 24):
+                ids = all_ids[i:j]
+                bit = _doc_bit(ids)
+                ok = np.flatnonzero((have[bit >> 3] >> (7 - (bit & 7))) & 1)
+                part = _doc_part(ids[ok], doc_parts)
+                out = []
+                for p in _by(part):
+                    q = ok[p]
+                    raw = b"".join([data[offsets[i + k] : offsets[i + k + 1]].tobytes() for k in q])
+                    sizes = (offsets[i + 1 + q] - offsets[i + q]).astype(np.uint32)
+                    out.append((int(part[p[0]]), _squeeze(ids[q], True), _squeeze(sizes), zstandard.ZstdCompressor(3).compress(raw)))
+                yield _batch({"part": ([o[0] for o in out], pa.int32()), **{c: ([o[k] for o in out], pa.binary()) for k, c in ((1, "docs"), (2, "sizes"), (3, "texts"))}})
+
+    chosen = docs.select("doc_id", "text").mapInArrow(select, "part int, docs binary, sizes binary, texts binary")
     marks = _marks(chosen, found, context_parts, length, gram)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, p, m in zip(batch.column("docs"), batch.column("places"), batch.column("masks")):
-                ids, place, mask = np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(m.as_buffer(), np.uint64)
-                part = _doc_part(ids, doc_parts)
-                out = [(int(part[q[0]]), ids[q].tobytes(), place[q].tobytes(), mask[q].tobytes()) for q in _by(part)]
-                yield _batch({"part": ([o[0] for o in out], pa.int32()), "docs": ([o[1] for o in out], pa.binary()), "places": ([o[2] for o in out], pa.binary()), "masks": ([o[3] for o in out], pa.binary())})
+            table = pa.Table.from_batches([batch])
+            ids, place, mask = _spread(table, "docs", np.int64, True), _spread(table, "places", np.uint32), _spread(table, "masks", np.uint32)
+            part = _doc_part(ids, doc_parts)
+            out = [(int(part[q[0]]), _squeeze(ids[q], True), _squeeze(place[q]), _squeeze(mask[q])) for q in _by(part)]
+            yield _batch({"part": ([o[0] for o in out], pa.int32()), "docs": ([o[1] for o in out], pa.binary()), "places": ([o[2] for o in out], pa.binary()), "masks": ([o[3] for o in out], pa.binary())})
 
     return chosen, marks.mapInArrow(route, "part int, docs binary, places binary, masks binary")
 
@@ -402,14 +450,15 @@ def _cut(docs: pa.Table, marks: pa.Table, length: int) -> Iterator[tuple[int, by
     """doc_id, bytes and the covered bytes of each document that loses any."""
     if not docs.num_rows or not marks.num_rows:
         return
-    ids, place, mask = _read(marks, "docs", np.int64), _read(marks, "places", np.int64), _read(marks, "masks", np.uint64)
+    ids, place, mask = _spread(marks, "docs", np.int64, True), _spread(marks, "places", np.uint32).astype(np.int64), _spread(marks, "masks", np.uint32).astype(np.uint64)
     order = np.argsort(ids, kind="stable")
     ids, place, mask = ids[order], place[order], mask[order]
-    for doc, text in dict(zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist())).items():  # a repeated row once
-        a, b = np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right")
+    own, data, offsets = _texts(docs)
+    for k in np.unique(own, return_index=True)[1]:  # a repeated row once
+        a, b = np.searchsorted(ids, own[k]), np.searchsorted(ids, own[k], side="right")
         if b > a:
-            raw = text.encode()
-            yield doc, raw, covered(len(raw), place[a:b], mask[a:b], length)
+            raw = data[offsets[k] : offsets[k + 1]]
+            yield int(own[k]), raw.tobytes(), covered(len(raw), place[a:b], mask[a:b], length)
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
