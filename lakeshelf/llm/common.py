@@ -161,6 +161,37 @@ def spans(data: np.ndarray, offsets: np.ndarray, solid: bool = False) -> tuple[n
     return start, end, np.searchsorted(start, offsets)
 
 
+# --- a bounded filter ---
+
+_MAP_BITS = 26
+
+
+def _map_bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) ^ np.uint64(0x5BD1E995)) >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
+
+
+def id_map(bits: DataFrame) -> np.ndarray:
+    """A packed map of 2 ** 26 bits (8 MB, whatever the input) from a column bit of map_bits."""
+    # buckets count from 1 for values from 1
+    maps = bits.select((F.col("bit") + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m"))
+    out = np.zeros(1 << _MAP_BITS, bool)
+    for r in maps.toLocalIterator():
+        own = np.unpackbits(np.frombuffer(bytes(r.m), np.uint8), bitorder="little")
+        at = (r.b - 1) * 32768
+        out[at : at + len(own)] = own
+    return np.packbits(out)
+
+
+def map_bits(ids: np.ndarray) -> np.ndarray:
+    return np.unique(_map_bit(ids))
+
+
+def in_map(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the map: all that are, and hardly any other."""
+    bit = _map_bit(ids)
+    return ((packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 # --- classes ----------------------------------------------------------------
 
 

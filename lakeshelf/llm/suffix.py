@@ -18,7 +18,8 @@ texts can meet, without losing any:
    intervals, and each interval's least document keeps its string.
 
 A null text counts as empty. Repeated equal rows give equal results, as a document never repeats
-itself; extra columns are ignored; an empty table gives an empty result.
+itself; of rows that share a doc_id and differ in text one is judged for all. Extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import RangeHasher, documents, partitions, pieces, stage, text_buffer
+from lakeshelf.llm.common import RangeHasher, documents, id_map, in_map, map_bits, partitions, pieces, stage, text_buffer
 
 LENGTH = 50
 GRAM = 20
-_MAP_BITS = 26
 _SHARDS = 8
 
 
@@ -154,11 +154,6 @@ def _doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(33))) % np.uint64(parts)).astype(np.int64)
 
 
-def _doc_bit(ids: np.ndarray) -> np.ndarray:
-    x = (ids.astype(np.uint64) ^ np.uint64(0x5BD1E995)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(64 - _MAP_BITS)).astype(np.int64)
-
-
 def _squeeze(values: np.ndarray, steps: bool = False) -> bytes:
     """Packed values; with steps, their differences are packed, as ids of neighbours are near."""
     if steps and len(values):
@@ -196,20 +191,13 @@ def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _bitmap(rows: DataFrame) -> np.ndarray:
-    """Which of 2 ** _MAP_BITS hash values the doc ids in packed rows (docs binary) have: 8 MB at most."""
+    """A map of the doc ids in packed rows."""
+
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_doc_bit(_spread(pa.Table.from_batches([batch]), "docs", np.int64, True)))
-            yield _batch({"bit": (bit + 1, pa.int64())})  # buckets count from 1 for values from 1
+            yield _batch({"bit": (map_bits(_spread(pa.Table.from_batches([batch]), "docs", np.int64, True)), pa.int64())})
 
-    found = rows.select("docs").mapInArrow(bits, "bit long")
-    maps = found.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    out = np.zeros(1 << _MAP_BITS, bool)
-    for r in maps.toLocalIterator():
-        at = (r.b - 1) * 32768
-        own = np.unpackbits(np.frombuffer(bytes(r.m), np.uint8), bitorder="little")
-        out[at : at + len(own)] = own
-    return np.packbits(out)
+    return id_map(rows.select("docs").mapInArrow(bits, "bit long"))
 
 
 def _recurring(docs: DataFrame, parts: int, doc_parts: int, length: int, gram: int) -> DataFrame:
@@ -394,6 +382,7 @@ def covered(size: int, places: np.ndarray, masks: np.ndarray, length: int = LENG
     change = np.zeros(size + 1, np.int64)
     for k in range(32):
         hit = places[(masks >> np.uint64(k)) & np.uint64(1) == 1] + k
+        hit = hit[hit + length <= size]
         if len(hit):
             starts = np.bincount(hit, minlength=size + 1)
             change[: size + 1] += starts[: size + 1]
@@ -421,8 +410,7 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
             all_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j in pieces(offsets, 1 << 24):
                 ids = all_ids[i:j]
-                bit = _doc_bit(ids)
-                ok = np.flatnonzero((have[bit >> 3] >> (7 - (bit & 7))) & 1)
+                ok = np.flatnonzero(in_map(have, ids))
                 part = _doc_part(ids[ok], doc_parts)
                 out = []
                 for p in _by(part):
@@ -469,7 +457,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     def digest(docs: pa.Table, marks: pa.Table) -> pa.Table:
         out = []
         for doc, raw, gone in _cut(docs, marks, length):
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "gone": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.int64()), "sha": pa.array([o[3] for o in out], pa.string())})
