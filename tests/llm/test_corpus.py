@@ -312,7 +312,7 @@ def test_suffix_removals(spark):
             out += b[a : a + rng.randint(20, 200)] if rng.random() < 0.7 else "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 80)))
         return out
 
-    rows = [(20 + 7 * k % 301, text()) for k in range(200)] + ODD + [(9001, "\0" * 200), (9002, "a" * 60), (9003, "a" * 500), (9004, "ab" * 100), (6, "é" * 300)]
+    rows = [(20 + 37 * k % 211, text()) for k in range(200)] + ODD + [(9001, "\0" * 200), (9002, "a" * 60), (9003, "a" * 500), (9004, "ab" * 100), (6, "é" * 300)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.removals(frame(spark, rows)).collect()}
     assert got == brute_removals(rows)
 
@@ -333,7 +333,7 @@ def test_passages_are_dropped(spark):
     same = "every word of this long sentence stands in two documents of the corpus"
     rows = [(1, f"first {same} end"), (2, f"ü {same} tail"), (3, None), (4, "clean")]
     got = {r.doc_id: r.text for r in suffix.drop_passages(frame(spark, rows)).collect()}
-    assert got[1] == rows[0][1] and got[4] == "clean" and got[3] is None and got[2] in ("ü tail", "ütail", "ü  tail", "ü", "ü tail")[:3] + ("ütail",)
+    assert got == {1: rows[0][1], 2: "ütail", 3: None, 4: "clean"}
     assert suffix.removals(frame(spark, rows).where("false")).collect() == []
 
 
@@ -454,7 +454,7 @@ def test_byte_pairs(spark):
 
 
 def test_html(spark):
-    page = "<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><div class='x-site'>all over the site</div>{}<footer>f</footer></body></html>"
+    page = "<html><head><title>t</title><style>p{{}}</style></head><body><nav>menu</nav><div class='x-site'>all over the site</div>{}<footer>f</footer></body></html>"
     rows = [(k, f"http://h.org/{k}", page.format(f"<div><p>text {k} &amp; more<p>second\n  block {k}</div>")) for k in range(8)]
     rows += [(20, "http://h.org/a", page.format("<article><h1>Head</h1><p>in it<br>too<div class='all over'>x</div><aside>no</aside><section class='comments'><p>bad</p></section></article>"))]
     rows += [(30, None, None), (31, "x", ""), (32, "http://i.org", "just <b>text < 3</b> &eacute;&#33;"), (33, "", "<p>a<script>var t='</p>'</script>b<!-- c --></p><form>q</form>"), (31, "x", "")]
