@@ -167,7 +167,7 @@ def route(ids: np.ndarray) -> int:
     x = ids.astype(np.uint64)
     if len(x) >= 4:
         x = x[:-3] | x[1:-2] << np.uint64(16) | x[2:-1] << np.uint64(32) | x[3:] << np.uint64(48)
-    least = mix(x)[:].min() if len(x) else np.uint64(0)
+    least = (x * np.uint64(0x9E3779B97F4A7C15)).min() if len(x) else np.uint64(0)
     return int(mix(np.array([least], np.uint64))[0] >> np.uint64(1))
 
 
