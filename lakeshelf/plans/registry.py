@@ -42,11 +42,11 @@ def _add(name: str, run: Run, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
-def _filter(name: str, where: dict, condition: str, source: Callable = documents_as_files, live: bool = True) -> None:
+def _filter(name: str, where: dict | Callable[[], dict], condition: str, source: Callable = documents_as_files, live: bool = True) -> None:
     """Ids and sizes of the rows that a where picks."""
     base = _DOCS if source is documents_as_files else _PARTS
     alive = "deleted_at = 0 AND " if live and source is documents_as_files else ""
-    _add(name, lambda spark, d: matched(source(spark, d), where, None)[0].select("id", "size"), f"WITH {base} SELECT id, size FROM files WHERE {alive}({condition})")
+    _add(name, lambda spark, d: matched(source(spark, d), where() if callable(where) else where, None)[0].select("id", "size"), f"WITH {base} SELECT id, size FROM files WHERE {alive}({condition})")
 
 
 _IDS = [f"{k:012d}" for k in (1, 5, 7, 20, 77, 150)]
@@ -75,7 +75,7 @@ _filter("filter_metadata_path", {"metadata": {"origin.source": "src2", "lang": "
 _filter("filter_metadata_anyof", {"metadata": {"brand": ["Brand#2", "Brand#3"]}}, "brand IN ('Brand#2', 'Brand#3')", parts_as_files)
 _filter("filter_metadata_index", {"metadata": {"labels.1": "Brand#2"}}, "brand = 'Brand#2'", parts_as_files)
 _filter("filter_metadata_contains", {"metadata_contains": {"brand": "BRAND#2"}}, "contains(lower(brand), 'brand#2')", parts_as_files)
-_filter("filter_custom", {"custom": (F.col("size") % 7 == 0)}, "size % 7 = 0")
+_filter("filter_custom", lambda: {"custom": F.col("size") % 7 == 0}, "size % 7 = 0")  # a column needs a session
 _filter("filter_custom_python", {"custom": lambda r: r["size"] % 5 == 0}, "size % 5 = 0")
 
 # --- order and pages ---
