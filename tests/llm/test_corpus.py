@@ -225,6 +225,27 @@ def test_forest(spark):
     check_lists(got, np.arange(600), {q: x @ x[q] for q in range(0, 600, 20)}, range(0, 600, 20), False)
 
 
+@pytest.mark.parametrize("d", (3, 24))
+def test_forest_probes_follow_the_measured_recall(spark, d):
+    v = np.random.Generator(np.random.PCG64(17)).standard_normal((3000, d))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = forest.nearest(table, lambda c: c % 20 == 0, trees=3, probes=2, cell=20).collect()
+    check_lists(got, np.arange(3000), {q: v @ v[q] for q in range(0, 3000, 20)}, range(0, 3000, 20), False)
+
+
+def test_forest_whole_scan_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 40)  # several rows and columns of blocks
+    v, table = vectors(spark, 600)
+    got = forest.nearest(table, lambda c: c % 5 == 0, probes=24, cell=30).collect()
+    x = v.astype(np.float64)
+    check_lists(got, np.arange(600), {q: x @ x[q] for q in range(0, 600, 5)}, range(0, 600, 5), True)
+
+
+def test_forest_priorities():
+    margins = np.array([[[0.5, -1.0, 2.0]]])
+    assert forest.priorities(margins).tolist() == [[0.5, 1.0, 2.0, -0.5]]
+
+
 def test_threshold(spark):
     v, table = vectors(spark, 500)
     got = threshold.top_k(table, lambda c: c % 20 == 0).collect()
