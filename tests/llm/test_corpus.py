@@ -431,6 +431,31 @@ def test_line_classes(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_distance_follows_the_length(spark):
+    rng = random.Random(18)
+    texts = []
+    for n in (9, 10, 15, 16, 60, 74, 75, 90, 120, 199, 201, 240, 420):
+        for _ in range(6):
+            base = "".join(rng.choice("abcdefghij ") for _ in range(n)).encode()
+            texts += [base, mutated(rng, base, max(1, n // 30)), mutated(rng, base, n // 22 + 1), base[: n // 2] + b"changed"[: max(1, n // 25)] + base[n // 2 :]]
+    texts = sorted({t.decode() for t in texts if t.strip()})
+    degree = collections.Counter()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            m = min(len(a), len(b))
+            most = m // 25 if m >= 75 else 2 if m >= 16 else 1 if m >= 10 else 0
+            if abs(len(a) - len(b)) <= most and (collections.Counter(a) - collections.Counter(b)).total() <= most and edits(a, b) <= most:
+                degree.update((a, b))
+    assert sum(degree[t] > 0 for t in texts if len(t) > 100) > 60 and any(degree[t] for t in texts if len(t) < 16)
+    got = {r.doc_id: r.n_links for r in lines.line_classes(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: degree[t] for k, t in enumerate(texts)}
+
+
+def test_winnowed_runs_stay():
+    for least, below, length, window in lines.WINNOW:
+        assert all(length + window - 1 <= -(-(n - n // 25) // (n // 25 + 1)) for n in range(least, min(below, 5000)))
+
+
 def test_large_groups_by_sketch():
     rng = np.random.Generator(np.random.PCG64(13))
     sketch = rng.integers(0, 2**63, 3000, dtype=np.uint64)
