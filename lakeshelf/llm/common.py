@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +53,60 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *columns)
 
 
+# --- memory of reused workers ---
+
+
+def _give_back() -> None:
+    """Returns what a finished task no longer needs to the system; a worker serves many tasks."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function of batches or of one table or two, with its memory given back at its end."""
+
+    if inspect.isgeneratorfunction(run):
+
+        def batches(of: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(of)
+            finally:
+                _give_back()
+
+        return batches
+
+    if len(inspect.signature(run).parameters) == 1:
+
+        def group(table: pa.Table) -> pa.Table:
+            try:
+                return run(table)
+            finally:
+                _give_back()
+
+        return group
+
+    def cogroup(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    return cogroup
+
+
+def rows_of(batch: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """Texts (null as empty) of about limit bytes at a time, and the rows they are from."""
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    for i, j in pieces(offsets, limit):
+        part = batch.slice(i, j - i)
+        yield [t or "" for t in part.column(column).to_pylist()], part
+
+
 # --- hashing of byte ranges -------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_607))
