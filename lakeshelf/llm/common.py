@@ -163,6 +163,44 @@ class RangeHasher:
         return mix(h)
 
 
+_MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+def grams(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of all windows of length bytes (8 or more), word by word."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    raw = np.ascontiguousarray(data).tobytes()
+    h = np.zeros(n, np.uint64)
+    for k, at in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
+        h += np.ndarray((n,), "<u8", raw, at, (1,))
+        h *= _MULTIPLY[k % 4]
+        h ^= h >> np.uint64(29)
+    h *= _MULTIPLY[3]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def least_in_windows(hashes: np.ndarray, *widths: int) -> Iterator[np.ndarray]:
+    """For each width the place of the least hash of each window of so many, of equal ones the first."""
+    bits = np.uint64(max(1, len(hashes).bit_length()))
+    keyed = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    levels = [keyed]  # of windows of 1, 2, 4, ...
+    for width in widths:
+        n = len(hashes) - width + 1
+        if n <= 0:
+            yield np.empty(0, np.int64)
+            continue
+        top = width.bit_length() - 1
+        while len(levels) <= top:
+            step = 1 << (len(levels) - 1)
+            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
+        rest = width - (1 << top)
+        yield (np.minimum(levels[top][:n], levels[top][rest : rest + n]) & low).astype(np.int64)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):

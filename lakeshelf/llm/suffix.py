@@ -17,7 +17,8 @@ texts can meet, without losing any:
    suffixes are sorted across shards. Common prefixes of neighbours then give the repeated
    intervals, and each interval's least document keeps its string.
 
-A null text counts as empty. Repeated equal rows give equal results, as a document never repeats
+Texts are taken whole, however long. A null text counts as empty; rows without a doc_id lose nothing
+and are compared with none. Repeated equal rows give equal results, as a document never repeats
 itself; of rows that share a doc_id and differ in text one is judged for all. Extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -33,46 +34,31 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import RangeHasher, documents, id_map, in_map, map_bits, partitions, pieces, stage, text_buffer
+from lakeshelf.llm.common import RangeHasher, documents, grams, id_map, in_map, least_in_windows, map_bits, partitions, pieces, stage, text_buffer, tidy
 
 LENGTH = 50
 GRAM = 20
 _SHARDS = 8
 
 
-def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Minima or maxima of all windows of that width."""
-    pick = np.minimum if least else np.maximum
-    have = 1
-    while have * 2 <= width:
-        x = pick(x[:-have], x[have:])
-        have *= 2
-    if have < width:
-        x = pick(x[: len(x) - (width - have)], x[width - have :])
-    return x
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, places within the row and hashes of the anchors of each row's strings."""
     none = np.empty(0, np.int64)
     if len(data) < length:
         return none, none, none.astype(np.uint64)
-    h = RangeHasher(data).windows(gram)
-    h |= np.uint64(1)
-    width = length - gram + 1
-    least = _slide(h, width, True)
-    # strings that cross a row's end don't count
-    for e in offsets[1:-1]:
-        least[max(0, e - length + 1) : e] = 0
-    pad = np.zeros(width - 1, np.uint64)
-    most = _slide(np.concatenate([pad, least, pad]), width, False)
-    at = np.flatnonzero(most[: len(h)] == h)
+    h = grams(data, gram)
+    (least,) = least_in_windows(h, length - gram + 1)
+    inside = np.ones(len(least), bool)
+    for e in offsets[1:-1]:  # strings that cross a row's end don't count
+        inside[max(0, e - length + 1) : e] = False
+    at = least[inside]
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     row = np.searchsorted(offsets, at, side="right") - 1
     return row, at - offsets[row], h[at]
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Places of text ordered by the bytes from there to the end of their string, 64 deep."""
+def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int = 64) -> np.ndarray:
+    """Places of text ordered by the bytes from there to the end of their string, depth (8, 16, 32, ...) deep."""
     n = len(text)
     rest = ends - np.arange(n)
     wide = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -81,11 +67,11 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | np.where(rest > k, wide[k : k + n], np.uint8(0)).astype(np.uint64)
     step = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_ = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.concatenate([[1], 1 + np.cumsum(sorted_[1:] != sorted_[:-1])]).astype(np.uint64)
-        if step >= 64 or rank.max(initial=0) == n:
+        if step >= depth or rank.max(initial=0) == n:
             return order.astype(np.int32)
         ahead = np.zeros(n, np.uint64)
         ahead[: max(0, n - step)] = rank[step:]
@@ -94,22 +80,38 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def interleave(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shards: list[np.ndarray], depth: int) -> np.ndarray:
+def interleave(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shards: list[np.ndarray], depth: int, whole: bool = False) -> np.ndarray:
     """All places of text (those before each end of a string included) in merged order.
 
-    shards are the suffix orders of each shard, as places. Their transforms' bytes are read off the
-    places: the byte before a place is its transform's byte. A round takes the merged transform in
-    the order so far and puts each place's predecessor in the bucket of its byte, in order."""
-    first = np.zeros(len(text) + 1, bool)
-    first[starts] = True
+    shards are the suffix orders of each shard, as places. Their transforms are of symbols of two
+    bytes and read off the places: the symbol before a place is its transform's. A round takes the
+    merged transform in the order so far and puts the place two bytes before in the bucket of its
+    symbol, in order; beyond its end a string has zeros. With whole, only strings of depth bytes matter:
+    a round follows the places from which such a string's start is still reached, and these are left."""
+    n = len(text)
+    symbol = text.astype(np.uint16) << np.uint16(8)
+    inner = np.ones(n, bool)
+    inner[ends[ends > starts] - 1] = False
+    follows = np.flatnonzero(inner)
+    symbol[follows] |= text[follows + 1]
+    opens = np.zeros(n + 1, bool)  # no symbol of its string stands before
+    opens[starts] = True
+    opens[np.minimum(starts + 1, n)] = True
     merged = np.concatenate(shards)
-    # the empty suffixes, one for each string, stand for themselves: their predecessors open each bucket
-    last = (ends[ends > starts] - 1).astype(np.int32)
-    for _ in range(depth):
-        before = merged[~first[merged]] - np.int32(1)
-        before = np.concatenate([last, before])
-        after = before[np.argsort(text[before], kind="stable")]
-        if np.array_equal(after, merged):
+    # the empty suffixes, two for each string, stand for themselves: their predecessors open each bucket
+    last = np.concatenate([ends[ends > starts] - 1, ends[ends - starts > 1] - 2]).astype(np.int32)
+    rounds = (depth + 1) // 2
+    if whole:
+        offset = np.arange(n) - np.repeat(starts, ends - starts)
+        rest = np.repeat(ends, ends - starts) - np.arange(n)
+        merged = merged[offset[merged] >= 2 * rounds]
+    for k in range(1, rounds + 1):
+        before = merged[~opens[merged]] - np.int32(2)
+        before = np.concatenate([last, before]) if not whole or 2 * (rounds - k) >= depth - 2 else before
+        if whole:
+            before = before[(offset[before] >= 2 * (rounds - k)) & (rest[before] >= depth - 2 * (rounds - k))]
+        after = before[np.argsort(symbol[before], kind="stable")]
+        if not whole and np.array_equal(after, merged):
             break
         merged = after
     return merged
@@ -128,9 +130,8 @@ def repeated(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shard: np.n
     for s in np.unique(shard):
         own = np.flatnonzero(shard == s)
         a, b = starts[own[0]], ends[own[-1]]  # strings stand in the order of their shards
-        orders.append(np.int32(a) + suffix_order(text[a:b], end_at[a:b] - a))
-    merged = interleave(text, starts, ends, orders, length)
-    merged = merged[end_at[merged] - merged >= length]
+        orders.append(np.int32(a) + suffix_order(text[a:b], end_at[a:b] - a, 32))
+    merged = interleave(text, starts, ends, orders, length, True)
     if not len(merged):
         return gone
     # common prefixes of neighbours, up to length bytes, eight at a time
@@ -268,8 +269,8 @@ def _recurring(docs: DataFrame, parts: int, doc_parts: int, length: int, gram: i
             out.append((int(_doc_part(ids[p[:1]], doc_parts)[0]), _squeeze(ids[p], True), _squeeze(place[p])))
         return pa.table({"part": pa.array([o[0] for o in out], pa.int32()), "docs": pa.array([o[1] for o in out], pa.binary()), "places": pa.array([o[2] for o in out], pa.binary())})
 
-    packed = docs.select("doc_id", "text").mapInArrow(scatter, "part int, to int, keys binary, docs binary, places binary")
-    return packed.groupBy("part").applyInArrow(gather, "part int, docs binary, places binary")
+    packed = docs.select("doc_id", "text").mapInArrow(tidy(scatter), "part int, to int, keys binary, docs binary, places binary")
+    return packed.groupBy("part").applyInArrow(tidy(gather), "part int, docs binary, places binary")
 
 
 def _read(table: pa.Table, column: str, kind: type) -> np.ndarray:
@@ -308,6 +309,8 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         order = np.lexsort((who, whole))
         head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
         leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        equal = ((b - a)[order] == (b - a)[leader]) & _same(data, a[order], a[leader], (b - a)[order])
+        leader = np.where(equal, leader, order)  # of a chance hit of hashes each stands for itself
         settled = order[who[order] > who[leader]]
         out: dict[str, list] = {k: [] for k in names}
 
@@ -348,8 +351,11 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
         new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         new_text = new_key | np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
         anchor = np.cumsum(new_key) - 1
-        kinds = np.bincount(anchor[new_text])
         first = order[np.maximum.accumulate(np.where(new_text, np.arange(len(order)), 0))]  # the least document with that context
+        equal = (size[order] == size[first]) & _same(text, start[order], start[first], size[order])
+        first = np.where(equal, first, order)
+        new_text |= ~equal
+        kinds = np.bincount(anchor[new_text])
         strings = size - length + 1
         gone = np.zeros(len(key), np.uint64)
         later = order[who[order] > who[first]]
@@ -373,27 +379,35 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
             return through
         return pa.concat_tables([through, pa.table({"docs": pa.array([_squeeze(who[hit], True)], pa.binary()), "places": pa.array([_squeeze(low[hit])], pa.binary()), "masks": pa.array([_squeeze(gone[hit].astype(np.uint32))], pa.binary())})])
 
-    near = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(contexts, "kind int, part int, keys binary, docs binary, places binary, sizes binary, texts binary, masks binary")
-    return near.groupBy("part").applyInArrow(merge, "docs binary, places binary, masks binary")
+    near = docs.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(tidy(contexts), "kind int, part int, keys binary, docs binary, places binary, sizes binary, texts binary, masks binary")
+    return near.groupBy("part").applyInArrow(tidy(merge), "docs binary, places binary, masks binary")
 
 
 def covered(size: int, places: np.ndarray, masks: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which of size bytes the marked strings cover."""
-    change = np.zeros(size + 1, np.int64)
-    for k in range(32):
-        hit = places[(masks >> np.uint64(k)) & np.uint64(1) == 1] + k
-        hit = hit[hit + length <= size]
-        if len(hit):
-            starts = np.bincount(hit, minlength=size + 1)
-            change[: size + 1] += starts[: size + 1]
-            ends = np.bincount(hit + length, minlength=size + 1)
-            change[: size + 1] -= ends[: size + 1]
-    return np.cumsum(change)[:size] > 0
+    row, bit = np.nonzero(np.unpackbits(masks.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
+    at = places[row] + bit
+    at = at[at + length <= size]
+    change = np.bincount(at, minlength=size + length + 1) - np.bincount(at + length, minlength=size + length + 1)
+    return np.cumsum(change[:size]) > 0
+
+
+def _same(text: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes from one are those from two, pair by pair."""
+    raw = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
+    word = np.ndarray((len(text) + 1,), "<u8", raw, 0, (1,))
+    same = np.ones(len(one), bool)
+    for at in range(0, int(size.max(initial=0)), 8):
+        left = np.clip(size - at, 0, 8)
+        x = word[np.minimum(one + at, len(text))] ^ word[np.minimum(two + at, len(text))]
+        shift = ((8 - left) * 8).astype(np.uint64)
+        same &= np.where(left > 0, x << np.minimum(shift, np.uint64(63)), np.uint64(0)) == 0
+    return same
 
 
 def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Packed documents (part, docs, sizes, texts) that may lose bytes, and packed marks by the same part."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a byte in sixteen is an anchor of 20 bytes: 6 MB of entries a partition; 3 MB of text a part, for which hashes take fifty times as much
     parts = max(partitions(spark), int(size // 5_000_000))
@@ -420,7 +434,7 @@ def _removals(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataF
                     out.append((int(part[p[0]]), _squeeze(ids[q], True), _squeeze(sizes), zstandard.ZstdCompressor(3).compress(raw)))
                 yield _batch({"part": ([o[0] for o in out], pa.int32()), **{c: ([o[k] for o in out], pa.binary()) for k, c in ((1, "docs"), (2, "sizes"), (3, "texts"))}})
 
-    chosen = docs.select("doc_id", "text").mapInArrow(select, "part int, docs binary, sizes binary, texts binary")
+    chosen = docs.select("doc_id", "text").mapInArrow(tidy(select), "part int, docs binary, sizes binary, texts binary")
     marks = _marks(chosen, found, context_parts, length, gram)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +476,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
             out.append((doc, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "gone": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.int64()), "sha": pa.array([o[3] for o in out], pa.string())})
 
-    cut = chosen.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(digest, "doc_id long, gone long, spans long, sha string")
+    cut = chosen.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(tidy(digest), "doc_id long, gone long, spans long, sha string")
     base = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     return base.join(cut, "doc_id", "left").select(
         "doc_id",
@@ -474,7 +488,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
 
 
 def drop_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs without their repeated passages, and all their rows; n_chars, where it is, follows.
+    """docs without their repeated passages, and all their rows; n_chars, where it is, follows a cut.
 
     A cut may part a character's bytes; what is left of it goes as well."""
     chosen, marks = _removals(documents(docs), length, gram)
@@ -483,8 +497,13 @@ def drop_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         out = [(doc, np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")) for doc, raw, gone in _cut(docs, marks, length)]
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "_left": pa.array([o[1] for o in out], pa.string())})
 
-    left = chosen.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, "doc_id long, _left string")
-    joined = docs.join(left, "doc_id", "left").withColumn("text", F.coalesce("_left", "text"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+    left = chosen.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(tidy(cut), "doc_id long, _left string")
+    names = docs.columns
+    inner = docs.toDF(*(f"_{k}" for k in range(len(names))))  # no name can clash
+    own = {n: F.col(f"_{k}") for k, n in enumerate(names)}
+    joined = inner.join(left, own["doc_id"] == left.doc_id, "left")
+    text = F.coalesce("_left", own["text"])
+    new = {"text": text}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_left").isNull(), own["n_chars"]).otherwise(F.length("_left").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(new.get(n, own[n]).alias(n) for n in names))
