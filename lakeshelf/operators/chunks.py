@@ -18,9 +18,9 @@ def split(contents: DataFrame, chunk_size: int | Column, data: str = "data") ->
 
 def assemble(chunks: DataFrame) -> DataFrame:
     """content_id and all its bytes in order."""
-    parts = F.array_sort(F.collect_list(F.struct("index", "data")))
-    joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda out, p: F.concat(out, p["data"]))
-    return chunks.groupBy("content_id").agg(joined.alias("data"))
+    parts = F.array_sort(F.collect_list(F.struct("index", F.hex("data").alias("hex"))))
+    # one join of all parts; adding them one by one would copy what is there each time
+    return chunks.groupBy("content_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["hex"]), "")).alias("data"))
 
 
 def read_range(chunks: DataFrame, content_id: str, chunk_size: int, size: int, start: int, end: int) -> DataFrame:

@@ -6,12 +6,13 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeshelf.errors import ValidationError
 from lakeshelf.functions import mime as M
+from lakeshelf.functions.images import image_size, image_size_columns
 from lakeshelf.functions.misc import chunk_count, content_hash, create_id, normalize_chunk_size, normalize_name, normalize_tags, now_ms, tags_column, to_bytes, to_timestamp
 from lakeshelf.functions.paths import canonical_json, folder_column, metadata_text, normalize_folder, normalize_metadata
 from lakeshelf.functions.text import fold_column, normalize_text
@@ -75,6 +76,7 @@ def prepare(data: object, options: dict, defaults: Options) -> tuple[dict, bytes
     text = o["text"] if "text" in o else M.text_preview(raw, mime, defaults.max_text_bytes) if o.get("extract_text", defaults.extract_text) else ""
     size = normalize_chunk_size(o.get("chunk_size", defaults.chunk_size))
     updated = to_timestamp(o.get("updated_at"))
+    wide, high = image_size(raw) if mime.startswith("image/") else (None, None)
     row = {
         "id": id_,
         "content_id": digest or id_,
@@ -94,8 +96,8 @@ def prepare(data: object, options: dict, defaults: Options) -> tuple[dict, bytes
         "notes": o.get("notes", ""),
         "text": text,
         "metadata": canonical_json(normalize_metadata(o.get("metadata"))),
-        "width": o.get("width"),
-        "height": o.get("height"),
+        "width": o.get("width", wide),
+        "height": o.get("height", high),
         "duration_ms": o.get("duration_ms"),
         "chunk_size": size,
         "chunk_count": chunk_count(len(raw), size),
@@ -108,7 +110,8 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
     """Rows of many payloads at once, all in the JVM.
 
     raw has id, name and content; and may have mime, kind, tags, folder, favorite, notes, metadata
-    (canonical JSON), text, created_at, updated_at, width, height, duration_ms, chunk_size."""
+    (canonical JSON), text, created_at, updated_at, deleted_at, width, height, duration_ms, chunk_size,
+    and declared_size where the bytes are elsewhere. Images of some kinds tell their own size."""
     d = defaults or Options()
     have = set(raw.columns)
     opt = lambda c, kind, other: F.coalesce(F.col(c).cast(kind), F.lit(other).cast(kind)) if c in have else F.lit(other).cast(kind)
@@ -116,6 +119,8 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
     df = df.withColumn("name", F.trim(M.with_extension_column(F.trim("name"), F.col("mime"))))
     df = df.withColumn("name", F.when((F.length("name") > 0) & (F.length("name") <= 512) & ~F.col("name").rlike(r"[\x00-\x1f]"), F.col("name")).otherwise(F.raise_error(F.lit("a name has 1 to 512 characters and no control characters"))))
     size = F.octet_length("content").cast("long")
+    wide, high = image_size_columns(F.col("content"), F.col("mime"))
+    size = F.coalesce(F.col("declared_size"), size) if "declared_size" in have else size
     hashed = F.lit(d.compute_hash) & (F.lit(d.hash_max_bytes is None) | (size <= F.lit(d.hash_max_bytes or 0)))
     extracted = M.text_preview_column(F.col("content"), F.col("mime"), d.max_text_bytes if d.extract_text else 0)
     created = opt("created_at", "long", None)
@@ -136,7 +141,10 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
         opt("notes", "string", "").alias("notes"),
         F.coalesce(opt("text", "string", None), extracted).alias("text"),
         opt("metadata", "string", "{}").alias("metadata"),
-        *(opt(c, "long", None).alias(c) for c in ("width", "height", "duration_ms")),
+        F.coalesce(opt("width", "long", None), wide).alias("width"),
+        F.coalesce(opt("height", "long", None), high).alias("height"),
+        opt("duration_ms", "long", None).alias("duration_ms"),
+        opt("deleted_at", "long", 0).alias("deleted_at"),
         opt("chunk_size", "long", d.chunk_size).alias("chunk_size"),
     )
     df = df.withColumns(
@@ -144,7 +152,6 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
             "content_id": F.coalesce("hash", "id"),
             "updated_at": F.coalesce("updated_at", "created_at"),
             "accessed_at": F.col("created_at"),
-            "deleted_at": F.lit(0).cast("long"),
             "revision": F.lit(1).cast("long"),
             "chunk_count": F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("chunk_size"))).cast("int"),
             "name_lower": fold_column(F.col("name")),
@@ -161,6 +168,6 @@ def derive(raw: DataFrame, defaults: Options | None = None) -> DataFrame:
 def dedupe(rows: DataFrame, live: DataFrame) -> DataFrame:
     """Of new rows the first of each hash that no live record has; rows without a hash all stay."""
     known = live.where("deleted_at = 0 and hash is not null").select("hash")
-    first = rows.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
-    new = rows.join(first, ["hash", "id"], "left_semi").join(known, "hash", "left_anti")
-    return new.select(*rows.columns).unionByName(rows.where("hash is null"))
+    place = F.row_number().over(Window.partitionBy(F.coalesce("hash", "id")).orderBy("id"))
+    new = rows.withColumn("_place", place).where("hash is null or _place = 1").drop("_place")
+    return new.join(known, "hash", "left_anti").select(*rows.columns)

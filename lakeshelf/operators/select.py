@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeshelf.errors import ValidationError
 from lakeshelf.operators.chunks import assemble
 from lakeshelf.operators.cursor import decode_cursor, encode_cursor
-from lakeshelf.operators.search import resolve_search, score_column
+from lakeshelf.operators.search import resolve_search, scores_column
 from lakeshelf.operators.sorting import Sort, after, cursor_value, normalize_sorts, order_by
 from lakeshelf.operators.where import compile_where
 from lakeshelf.schema import SEARCH_COLUMNS
@@ -59,7 +59,7 @@ def matched(files: DataFrame, where: dict | None, search: str | dict | None) ->
     resolved = resolve_search(search)
     if resolved is None:
         return rows, False
-    return rows.withColumn("score", score_column(resolved)).where(F.col("score").isNotNull()), True
+    return rows.select("*", F.explode(scores_column(resolved)).alias("score")), True
 
 
 def public(rows: DataFrame, text: bool = False, extras: tuple[str, ...] = ()) -> DataFrame:

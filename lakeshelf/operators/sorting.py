@@ -44,8 +44,12 @@ def normalize_sorts(sort: object) -> tuple[Sort, ...]:
 def natural_key(text: Column) -> Column:
     """A key whose order takes runs of digits by value and letters without case or accent."""
     runs = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.aggregate(runs, F.lit(""), lambda out, r: F.concat(out, F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), 32, "0")).otherwise(r)))
-    return F.collate(padded, "UNICODE_CI_AI")
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, key), ""), "UNICODE_CI_AI")  # more digits, larger number
 
 
 def sort_value(sort: Sort) -> Column:

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions; a larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _id(column: str) -> F.Column:
     return F.lpad(F.col(column).cast("string"), 12, "0")
 
@@ -21,10 +27,8 @@ def _id(column: str) -> F.Column:
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a text file; labels mark favourites (quality) and trash (toxic)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     raw = docs.select(
-        "toxic",
-        "doc_id",
         _id("doc_id").alias("id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
         F.lit("text/plain").alias("mime"),
@@ -34,12 +38,10 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/docs/"), F.col("lang"), F.lit("/"), F.col("source")).alias("folder"),
         F.coalesce(F.col("quality"), F.lit(0)).alias("favorite"),
         (F.lit(EPOCH) + F.col("doc_id") * 1000).alias("created_at"),
+        F.when(F.col("toxic") == 1, F.lit(EPOCH)).otherwise(F.lit(0)).alias("deleted_at"),
         F.to_json(F.struct("lang", F.col("n_chars").alias("length"), F.struct("source").alias("origin"))).alias("metadata"),
     )
-    rows = derive(raw.drop("toxic", "doc_id"))
-    trashed = labels.where("toxic = 1").select(_id("doc_id").alias("id"), F.lit(True).alias("_trashed"))
-    rows = rows.join(trashed, "id", "left")
-    return rows.withColumn("deleted_at", F.when(F.col("_trashed"), F.lit(EPOCH)).otherwise(F.lit(0)).cast("long")).drop("_trashed")
+    return derive(raw)
 
 
 def parts_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +56,9 @@ def parts_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(EPOCH) + F.col("p_partkey") * 1000).alias("created_at"),
         F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.array(F.col("p_type"), F.col("p_brand")).alias("labels"))).alias("metadata"),
         F.lit(None).cast("string").alias("text"),
-        F.col("p_size").cast("long").alias("_size"),
+        F.col("p_size").cast("long").alias("declared_size"),
     )
-    sizes = raw.select("id", "_size")
-    return derive(raw.drop("_size")).join(sizes, "id").withColumn("size", F.col("_size")).drop("_size")
+    return derive(raw)
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
