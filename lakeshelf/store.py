@@ -2,7 +2,9 @@
 
 A change is a new segment of the log. Segments are written aside and published by a rename, chunks
 before changes, so that a crash leaves at most bytes that prune_orphans removes. The present state
-is the last change of each id. There is one writer at a time; readers see published segments only.
+is the rows of the base that compaction wrote, but for ids with changes since, and the last change of
+each of those; filters on it reach the scan of the base. The shelf's own state is in numbered files,
+of which the newest counts. There is one writer at a time; readers see published segments only.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import types as T
 
 from lakeshelf.errors import ClosedError, NotFoundError, ValidationError, translate_storage_error
 from lakeshelf.functions import mime as M
-from lakeshelf.functions.misc import normalize_name, normalize_tags, now_ms, to_timestamp
-from lakeshelf.functions.paths import canonical_json, normalize_folder, normalize_metadata
+from lakeshelf.functions.misc import chunk_count, normalize_name, normalize_tags, now_ms, to_timestamp
+from lakeshelf.functions.paths import canonical_json, metadata_text, normalize_folder, normalize_metadata
+from lakeshelf.functions.text import normalize_text
 from lakeshelf.operators import aggregates, chunks as C, select
 from lakeshelf.operators.ingest import Options, check_kind, dedupe, derive, prepare, search_columns
 from lakeshelf.operators.select import Query
@@ -27,7 +30,7 @@ from lakeshelf.schema import CHUNKS, FILES, THUMBNAILS
 from lakeshelf.sources.tables import binary_files
 from lakeshelf.streaming.feed import CHANGES, Emitter, follow, read_changes
 
-VERSION = 3
+VERSION = 4
 _NAMES = [f.name for f in FILES]
 _STORED_CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("seq", T.LongType())])
 
@@ -45,12 +48,32 @@ class Shelf:
 
     def open(self) -> Shelf:
         if not self._open:
-            if not self._exists("_shelf.json"):
-                self._write_text("_shelf.json", json.dumps({"version": VERSION, "epoch": 0}))
+            state = self._read_state()
+            if state is None:
+                self._write_state({"version": VERSION, "epoch": 0})
+            elif state.get("version", 0) > VERSION:
+                raise ValidationError(f"the shelf is of version {state['version']}, which is newer than {VERSION}")
+            elif state.get("version", 0) < VERSION:
+                self._upgrade(state)
             self._open = True
             self.events.emit("open")
         return self
 
+    def _upgrade(self, state: dict) -> None:
+        """To the present version: the log's order within a batch has its own column since version 4,
+        contents are keyed by their hash since version 3."""
+        folder = f"{self.root}/epoch-{state['epoch']}"
+        if state.get("version", 0) < 3 and self._fs(self.root).exists(self._path(f"{folder}/chunks")):
+            old = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/chunks")
+            if "file_id" in old.columns:
+                log = self.spark.read.schema(CHANGES).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+                files = log.groupBy("id").agg(F.max_by("record", "seq").alias("r")).select("r.*")
+                moved = f"{self.root}/epoch-{state['epoch'] + 1}"
+                C.migrate(old, files).withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{moved}/chunks/0")
+                log.withColumn("record", F.col("record").withField("content_id", F.coalesce("record.hash", "record.id"))).write.parquet(f"{moved}/changes/0")
+                state = state | {"epoch": state["epoch"] + 1}
+        self._write_state(state | {"version": VERSION})
+
     def close(self) -> None:
         if self._open:
             self._open = False
@@ -76,24 +99,41 @@ class Shelf:
     def _exists(self, name: str) -> bool:
         return self._fs(self.root).exists(self._path(f"{self.root}/{name}"))
 
-    def _write_text(self, name: str, text: str) -> None:
-        fs, to = self._fs(self.root), self._path(f"{self.root}/{name}")
-        aside = self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
+    def _state_files(self) -> list[str]:
+        """Names of the shelf's state files, the newest last; the first version had one without a number."""
+        fs, root = self._fs(self.root), self._path(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        own = [n for n in names if n.startswith("_shelf") and n.endswith(".json")]
+        return sorted(own, key=lambda n: int(n.removeprefix("_shelf").removesuffix(".json").lstrip("-") or 0))
+
+    def _write_state(self, state: dict) -> None:
+        """A new state file, complete before it gets its name; older ones go after it is there."""
+        fs, have = self._fs(self.root), self._state_files()
+        number = 1 + (int(have[-1].removeprefix("_shelf").removesuffix(".json").lstrip("-") or 0) if have else 0)
+        aside = self._path(f"{self.root}/_aside/{uuid.uuid4().hex}")
         stream = fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        fs.delete(to, False)
-        fs.rename(aside, to)
-
-    def _state(self) -> dict:
-        if not self._open:
-            raise ClosedError("open the shelf first")
-        stream = self._fs(self.root).open(self._path(f"{self.root}/_shelf.json"))
+        if not fs.rename(aside, self._path(f"{self.root}/_shelf-{number:012d}.json")):
+            raise translate_storage_error(OSError("the shelf's state can't be written"))
+        for name in have[:-1]:
+            fs.delete(self._path(f"{self.root}/{name}"), False)
+
+    def _read_state(self) -> dict | None:
+        have = self._state_files()
+        if not have:
+            return None
+        stream = self._fs(self.root).open(self._path(f"{self.root}/{have[-1]}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _state(self) -> dict:
+        if not self._open:
+            raise ClosedError("open the shelf first")
+        return self._read_state() or {"version": VERSION, "epoch": 0}
+
     def _folder(self, name: str) -> str:
         return f"{self.root}/epoch-{self._state()['epoch']}/{name}"
 
@@ -120,30 +160,71 @@ class Shelf:
         return self._table("changes", CHANGES)
 
     def files(self) -> DataFrame:
-        """The present rows: of each id the last change, unless it purged it."""
-        last = self.changes().groupBy("id").agg(F.max_by(F.struct("type", "record"), "seq").alias("l"))
-        return last.where("l.type <> 'purge'").select("l.record.*")
+        """The present rows: of each id the last change, unless it purged it; and the base's other rows."""
+        changes, base = self.changes(), self._table("base", FILES)
+        last = changes.groupBy("id").agg(F.max_by(F.struct("type", "record"), F.struct("seq", "sub")).alias("l"))
+        now = last.where("l.type <> 'purge'").select("l.record.*")
+        if not self._fs(self.root).exists(self._path(self._folder("base"))):
+            return now
+        if not self._fs(self.root).exists(self._path(self._folder("changes"))):
+            return base
+        return base.join(changes.select("id").distinct(), "id", "left_anti").select(*_NAMES).unionByName(now)
+
+    def _voided(self) -> DataFrame:
+        """Stretches of the log that transactions took back; one row for each that failed."""
+        return self._table("voided", "low long, high long")
+
+    def _standing(self, rows: DataFrame) -> DataFrame:
+        """Rows with a seq that no failed transaction wrote."""
+        if not self._fs(self.root).exists(self._path(self._folder("voided"))):
+            return rows
+        gone = self._voided()
+        return rows.join(gone, (rows["seq"] > gone["low"]) & (rows["seq"] <= gone["high"]), "left_anti")
 
     def chunks(self) -> DataFrame:
         """Chunks that weren't released since they were written."""
-        rows = self._table("chunks", _STORED_CHUNKS)
-        gone = self._table("released", "content_id string, seq long").groupBy("content_id").agg(F.max("seq").alias("_gone"))
+        rows = self._standing(self._table("chunks", _STORED_CHUNKS))
+        gone = self._standing(self._table("released", "content_id string, seq long")).groupBy("content_id").agg(F.max("seq").alias("_gone"))
         return rows.join(gone, "content_id", "left").where(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone"))).select("content_id", "index", "data")
 
     def thumbnails(self) -> DataFrame:
         rows = self._table("thumbnails", THUMBNAILS)
-        return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "created_at").alias("t")).select("t.*").where("blob is not null")
+        return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct("created_at", F.col("blob").isNull())).alias("t")).select("t.*").where("blob is not null")
 
     def _next_seq(self) -> int:
         state = self._state()
         state["seq"] = state.get("seq", 0) + 1
-        self._write_text("_shelf.json", json.dumps(state))
+        self._write_state(state)
         return state["seq"] << 32
 
+    def _publish_rows(self, rows: DataFrame, kind: str) -> int:
+        """Publishes one change for each row without bringing them to the driver; the changes' seq."""
+        seq = self._next_seq()
+        log = rows.select(F.lit(seq).alias("seq"), F.monotonically_increasing_id().alias("sub"), F.lit(now_ms()).alias("ts"), F.lit(kind).alias("type"), F.lit(self.source).alias("source"), "id", F.struct(*_NAMES).alias("record"))
+        self._publish(log, "changes")
+        return seq
+
+    def _changed(self, rows: DataFrame, kind: str) -> list[dict]:
+        """Publishes changed rows and tells listeners; the records as callers see them, without texts."""
+        seq = self._publish_rows(rows, kind)
+        shown = [n for n in _NAMES if n not in _HIDDEN]
+        found = self.changes().where(F.col("seq") == seq).orderBy("sub").select(*(F.col(f"record.{n}").alias(n) for n in shown)).collect()
+        records = [record(r.asDict(True)) for r in found]
+        for r in records:
+            self._emit(kind, r)
+        return records
+
+    def _of(self, ids: Iterable[str]) -> DataFrame:
+        """The present rows of those ids."""
+        ids = list(dict.fromkeys(ids))
+        if len(ids) <= 1000:
+            return self.files().where(F.col("id").isin(*ids) if ids else F.lit(False))
+        return self.files().join(self.spark.createDataFrame([(i,) for i in ids], "id string"), "id", "left_semi").select(*_NAMES)
+
     def _log(self, kind: str, rows: list[dict]) -> list[dict]:
         """Publishes one change for each row and tells listeners."""
         seq, ts = self._next_seq(), now_ms()
-        data = [(seq + k, ts, kind, self.source, r["id"], tuple(r.get(n) for n in _NAMES)) for k, r in enumerate(rows)]
+        data = [(seq, k, ts, kind, self.source, r["id"], tuple(r.get(n) for n in _NAMES)) for k, r in enumerate(rows)]
         if data:
             self._publish(self.spark.createDataFrame(data, CHANGES).coalesce(1), "changes")
         records = [record(r) for r in rows]
@@ -171,67 +252,96 @@ class Shelf:
 
     def add(self, data: object, **options: object) -> dict:
         """Adds one payload; its record. With dedupe a live record of the same bytes comes back instead."""
+        return self.add_many([data], **options)[0]
+
+    def add_many(self, items: Iterable[object], progress: Callable | None = None, **options: object) -> list[dict]:
+        """Adds payloads as one batch; their records in order."""
         self._state()
-        row, raw = prepare(data, options, self.options)
-        want_dedupe = options.get("dedupe", self.options.dedupe)
-        if want_dedupe and row["hash"]:
-            same = self.files().where((F.col("hash") == row["hash"]) & (F.col("deleted_at") == 0)).orderBy("created_at", "id").limit(1).collect()
-            if same:
-                found = record(same[0].asDict(True))
-                self._emit("duplicate", found)
-                return found
-        if self._rows([row["id"]]):
-            raise ValidationError(f"there is a record {row['id']!r} already")
-        self._store(row, raw)
-        return self._log("add", [row])[0]
+        made = [prepare(item, options, self.options) for item in items]
+        ids = [row["id"] for row, _ in made]
+        if len(set(ids)) < len(ids):
+            raise ValidationError("one id can't serve many records")
+        same: dict[str, dict] = {}
+        if options.get("dedupe", self.options.dedupe):
+            hashes = sorted({row["hash"] for row, _ in made if row["hash"]})
+            live = self.files().where(F.col("hash").isin(*hashes) & (F.col("deleted_at") == 0)) if hashes else self.files().where("false")
+            shown = [n for n in _NAMES if n not in _HIDDEN]
+            first = live.groupBy("hash").agg(F.min_by(F.struct(*shown), F.struct("created_at", "id")).alias("r"))
+            same = {r.hash: record(r.r.asDict(True)) for r in first.collect()}
+        new: dict[str, tuple[dict, bytes]] = {}
+        for row, raw in made:
+            if options.get("dedupe", self.options.dedupe) and row["hash"]:
+                if row["hash"] in same:
+                    continue
+                same[row["hash"]] = record(row)
+            new[row["id"]] = (row, raw)
+        if new and (clash := self._of(new).select("id").limit(1).collect()):
+            raise ValidationError(f"there is a record {clash[0].id!r} already")
+        self._store_many(list(new.values()))
+        records = {r["id"]: r for r in self._log("add", [row for row, _ in new.values()])}
+        out = []
+        for k, (row, _) in enumerate(made):
+            out.append(records.get(row["id"]) or same[row["hash"]])
+            if row["id"] not in records:
+                self._emit("duplicate", out[-1])
+            if progress:
+                progress(k + 1, len(made), out[-1])
+        return out
 
     def _store(self, row: dict, raw: bytes) -> None:
-        """Writes the row's content, or takes over the layout in which it is stored already."""
-        owner = self.files().where(F.col("content_id") == row["content_id"]).select("chunk_size", "chunk_count").limit(1).collect()
-        if owner and self.chunks().where(F.col("content_id") == row["content_id"]).limit(1).count():
-            row["chunk_size"], row["chunk_count"] = owner[0].chunk_size, owner[0].chunk_count
+        self._store_many([(row, raw)])
+
+    def _store_many(self, items: list[tuple[dict, bytes]]) -> None:
+        """Writes the rows' contents, or takes over the layout in which they are stored already."""
+        contents = sorted({row["content_id"] for row, _ in items})
+        if not contents:
             return
-        if not owner:
-            self._release([row["content_id"]])
-        content = self.spark.createDataFrame([(row["content_id"], bytearray(raw))], "content_id string, data binary")
-        seq = self._next_seq()
-        self._publish(C.split(content, row["chunk_size"]).withColumn("seq", F.lit(seq)), "chunks")
+        own = F.col("content_id").isin(*contents)
+        stored = {r.content_id for r in self.chunks().where(own).select("content_id").distinct().collect()}
+        owners = self.files().where(own).groupBy("content_id").agg(F.first(F.struct("chunk_size", "chunk_count")).alias("l")).collect()
+        layouts = {r.content_id: r.l for r in owners if r.content_id in stored}
+        stale = [c for c in contents if c not in layouts]
+        if stale and stored:
+            self._release(stale)
+        fresh: dict[str, tuple[str, bytearray, int]] = {}
+        for row, raw in items:
+            if layout := layouts.get(row["content_id"]):
+                row["chunk_size"], row["chunk_count"] = layout.chunk_size, layout.chunk_count
+            elif row["content_id"] not in fresh:
+                fresh[row["content_id"]] = (row["content_id"], bytearray(raw), row["chunk_size"])
+            else:
+                first = fresh[row["content_id"]]
+                row["chunk_size"], row["chunk_count"] = first[2], chunk_count(row["size"], first[2])
+        if fresh:
+            content = self.spark.createDataFrame(list(fresh.values()), "content_id string, data binary, chunk_size long")
+            self._publish(C.split(content, F.col("chunk_size")).withColumn("seq", F.lit(self._next_seq())), "chunks")
 
     def _release(self, content_ids: list[str]) -> None:
         """Lets go of those contents that no record refers to."""
-        if not content_ids:
-            return
-        gone = self.spark.createDataFrame([(c,) for c in set(content_ids)], "content_id string").join(self.files().select("content_id"), "content_id", "left_anti")
+        if content_ids:
+            self._release_rows(self.spark.createDataFrame([(c,) for c in set(content_ids)], "content_id string"))
+
+    def _release_rows(self, contents: DataFrame) -> None:
+        gone = contents.distinct().join(self.files().select("content_id"), "content_id", "left_anti")
         gone = gone.join(self._table("chunks", _STORED_CHUNKS).select("content_id"), "content_id", "left_semi")
         if not gone.isEmpty():
             self._publish(gone.withColumn("seq", F.lit(self._next_seq())), "released")
 
-    def add_many(self, items: Iterable[object], progress: Callable | None = None, **options: object) -> list[dict]:
-        items = list(items)
-        if options.get("id") and len(items) > 1:
-            raise ValidationError("one id can't serve many records")
-        out = []
-        for k, item in enumerate(items):
-            out.append(self.add(item, **options))
-            if progress:
-                progress(k + 1, len(items), out[-1])
-        return out
-
     def ingest(self, raw: DataFrame, dedupe_by_hash: bool | None = None) -> int:
         """Adds many payloads (see derive) in one batch, without the driver seeing them; their number."""
         rows = derive(raw, self.options)
-        clash = rows.select("id").join(self.files().select("id"), "id", "left_semi").limit(1).collect()
+        twice = rows.groupBy("id").count().where("count > 1").select("id")
+        clash = rows.select("id").join(self.files().select("id"), "id", "left_semi").unionByName(twice).limit(1).collect()
         if clash:
-            raise ValidationError(f"there is a record {clash[0].id!r} already")
+            raise ValidationError(f"there is a record {clash[0].id!r} already, or more than one in the batch")
         if self.options.dedupe if dedupe_by_hash is None else dedupe_by_hash:
             rows = dedupe(rows, self.files())
         seq = self._next_seq()
         first = rows.groupBy("content_id").agg(F.min("id").alias("id"))
         new = rows.join(first, ["content_id", "id"], "left_semi").join(self.chunks().select("content_id"), "content_id", "left_anti")
         self._publish(C.split(new, F.col("chunk_size"), "content").withColumn("seq", F.lit(seq)), "chunks")
-        log = rows.select((F.lit(seq) + F.monotonically_increasing_id() % (1 << 32)).alias("seq"), F.lit(now_ms()).alias("ts"), F.lit("add").alias("type"), F.lit(self.source).alias("source"), "id", F.struct(*_NAMES).alias("record"))
-        self._publish(log, "changes")
-        return self.changes().where(F.col("seq").between(seq, seq + (1 << 32) - 1)).count()
+        seq = self._publish_rows(rows, "add")
+        return self.changes().where(F.col("seq") == seq).count()
 
     def import_files(self, path: str, preserve_relative_path: bool = True, **options: object) -> int:
         """Adds all files below a directory; their number."""
@@ -285,9 +395,39 @@ class Shelf:
 
     def update_many(self, ids: Iterable[str], **options: object) -> list[dict]:
         """The same change for many records; ids that aren't there are passed over."""
-        out = self._log("update", [self._updated(r, options) for r in self._rows(ids).values()])
-        self._release(self.__dict__.pop("_stale", []))
-        return out
+        if options.get("data") is not None:  # a payload comes from the driver, as its row may
+            out = self._log("update", [self._updated(r, options) for r in self._rows(ids).values()])
+            self._release(self.__dict__.pop("_stale", []))
+            return out
+        o = options
+        new: dict[str, object] = {}
+        if o.get("name") is not None:
+            new["name"] = normalize_name(o["name"])
+            new |= {"extension": M.extension_of(new["name"]), "name_lower": normalize_text(new["name"])}
+        if o.get("mime") is not None:
+            new["mime"] = M.normalize_mime(o["mime"])
+        if o.get("kind") is not None:
+            new["kind"] = check_kind(o["kind"])
+        if o.get("folder") is not None:
+            new["folder"] = normalize_folder(o["folder"])
+        if o.get("favorite") is not None:
+            new["favorite"] = int(bool(o["favorite"]))
+        if o.get("notes") is not None:
+            new |= {"notes": o["notes"], "notes_lower": normalize_text(o["notes"])}
+        if o.get("metadata") is not None:
+            value = normalize_metadata(o["metadata"])
+            new |= {"metadata": canonical_json(value), "meta_text": normalize_text(metadata_text(value))}
+        if "text" in o:
+            new |= {"text": o["text"] or "", "text_lower": normalize_text(o["text"] or "")}
+        new |= {c: o[c] for c in ("width", "height", "duration_ms") if c in o}
+        new["updated_at"] = to_timestamp(o.get("updated_at")) or now_ms()
+        columns = {c: F.lit(v).cast(FILES[c].dataType) for c, v in new.items()}
+        if o.get("tags") is not None:
+            tags = normalize_tags(o["tags"])
+            columns["tags"] = F.array(*(F.lit(t) for t in tags)).cast("array<string>")
+            columns["tags_key"] = F.array(*(F.lit(t.lower()) for t in tags)).cast("array<string>")
+            columns["tags_lower"] = F.lit(normalize_text(" ".join(tags)))
+        return self._changed(self._of(ids).withColumns(columns | {"revision": F.col("revision") + 1}), "update")
 
     def set_tags(self, id: str, add: Iterable[str] = (), remove: Iterable[str] = ()) -> dict:
         """Takes tags off, then puts tags on; a tag in both is on."""
@@ -302,8 +442,8 @@ class Shelf:
         return self.update_many(ids, favorite=favorite)
 
     def _mark(self, ids: Iterable[str], kind: str, deleted_at: int) -> list[dict]:
-        rows = [r | {"deleted_at": deleted_at, "revision": r["revision"] + 1, "updated_at": now_ms()} for r in self._rows(ids).values()]
-        return self._log(kind, rows)
+        new = {"deleted_at": F.lit(deleted_at).cast("long"), "revision": F.col("revision") + 1, "updated_at": F.lit(now_ms())}
+        return self._changed(self._of(ids).withColumns(new), kind)
 
     def trash(self, ids: Iterable[str]) -> list[dict]:
         return self._mark(ids, "delete", now_ms())
@@ -312,30 +452,38 @@ class Shelf:
         return self._mark(ids, "restore", 0)
 
     def purge(self, ids: Iterable[str]) -> int:
-        """Removes records, and the contents that no record refers to any more."""
-        rows = list(self._rows(ids).values())
-        self._log("purge", rows)
-        self._release([r["content_id"] for r in rows])
-        return len(rows)
+        """Removes records, their previews, and the contents that no record refers to any more."""
+        return len(self._purge(self._of(ids), True))
+
+    def _purge(self, rows: DataFrame, tell: bool) -> list[dict]:
+        records = self._changed(rows, "purge") if tell else []
+        if not tell:
+            self._publish_rows(rows, "purge")
+        last = self.changes().agg(F.max("seq")).first()[0]
+        gone = self.changes().where(F.col("seq") == last)
+        self._release_rows(gone.select("record.content_id"))
+        previews = self.thumbnails().join(gone.select("id"), "id", "left_semi")
+        if not previews.isEmpty():
+            self._hide_previews(previews)
+        return records
+
+    def _hide_previews(self, previews: DataFrame) -> None:
+        when = F.greatest(F.lit(now_ms()), F.col("created_at") + 1)
+        self._publish(previews.select("id", F.lit(None).cast("binary").alias("blob"), "width", "height", when.alias("created_at")), "thumbnails")
 
     def empty_trash(self) -> int:
         """Purges all trashed records without bringing them to the driver."""
         gone = self.files().where("deleted_at > 0")
         n = gone.count()
         if n:
-            contents = gone.select("content_id").distinct()
-            seq = self._next_seq()
-            log = gone.select((F.lit(seq) + F.monotonically_increasing_id() % (1 << 32)).alias("seq"), F.lit(now_ms()).alias("ts"), F.lit("purge").alias("type"), F.lit(self.source).alias("source"), "id", F.struct(*_NAMES).alias("record"))
-            stale = contents.join(self.files().where("deleted_at = 0").select("content_id"), "content_id", "left_anti").withColumn("seq", F.lit(self._next_seq()))
-            self._publish(stale, "released")
-            self._publish(log, "changes")
+            self._purge(gone, False)
         return n
 
     def clear(self) -> None:
         """A new, empty epoch."""
         state = self._state()
         old = f"{self.root}/epoch-{state['epoch']}"
-        self._write_text("_shelf.json", json.dumps(state | {"epoch": state["epoch"] + 1}))
+        self._write_state(state | {"epoch": state["epoch"] + 1})
         self._fs(self.root).delete(self._path(old), True)
 
     def prune_orphans(self) -> dict:
@@ -347,7 +495,7 @@ class Shelf:
         previews = C.orphan_thumbnails(self.thumbnails(), self.files())
         n_previews = previews.count()
         if n_previews:
-            self._publish(previews.withColumn("blob", F.lit(None).cast("binary")).withColumn("created_at", F.lit(now_ms())), "thumbnails")
+            self._hide_previews(previews)
         return {"chunks": n_chunks, "thumbnails": n_previews}
 
     def set_thumbnail(self, id: str, blob: bytes, width: int, height: int) -> None:
@@ -355,30 +503,33 @@ class Shelf:
         self._publish(self.spark.createDataFrame([(id, bytearray(blob), width, height, now_ms())], THUMBNAILS), "thumbnails")
 
     def compact(self) -> None:
-        """Rewrites the present state as one epoch, without old changes and released bytes."""
+        """Rewrites the present state as the base of a new epoch, without old changes and released bytes."""
         state = self._state()
         old, new = f"{self.root}/epoch-{state['epoch']}", f"{self.root}/epoch-{state['epoch'] + 1}"
-        seq = self._next_seq()
-        state = self._state()
-        log = self.files().select((F.lit(seq) + F.monotonically_increasing_id() % (1 << 32)).alias("seq"), F.lit(now_ms()).alias("ts"), F.lit("add").alias("type"), F.lit(self.source).alias("source"), "id", F.struct(*_NAMES).alias("record"))
-        log.write.parquet(f"{new}/changes/0")
-        self.chunks().withColumn("seq", F.lit(seq)).write.parquet(f"{new}/chunks/0")
+        # sorted within files, so that filters on folder skip row groups
+        self.files().select(*_NAMES).sortWithinPartitions("folder", "id").write.parquet(f"{new}/base/0")
+        self.chunks().withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{new}/chunks/0")
         self.thumbnails().write.parquet(f"{new}/thumbnails/0")
-        self._write_text("_shelf.json", json.dumps(state | {"epoch": state["epoch"] + 1}))
+        self._write_state(state | {"epoch": state["epoch"] + 1})
         self._fs(self.root).delete(self._path(old), True)
 
     def transaction(self, body: Callable[[Shelf], object]) -> object:
-        """Runs body; if it fails, the changes it published are hidden by a return to the state before."""
-        before = self.changes().agg(F.max("seq")).first()[0] or 0
+        """Runs body; if it fails, what it published doesn't count: contents that it wrote or released
+        are as they were, and its changes are hidden by a return to the rows before. Previews stay."""
+        before = self._state().get("seq", 0) << 32
         try:
             return body(self)
         except Exception:
+            self._publish(self.spark.createDataFrame([(before, self._state().get("seq", 0) << 32)], "low long, high long"), "voided")
             own = self.changes().where(F.col("seq") > before).select("id").distinct()
-            old = self.changes().where(F.col("seq") <= before).groupBy("id").agg(F.max_by(F.struct("type", "record"), "seq").alias("l"))
+            changes = self.changes().where(F.col("seq") <= before)
+            old = changes.groupBy("id").agg(F.max_by(F.struct("type", "record"), F.struct("seq", "sub")).alias("l")).select("id", F.when(F.col("l.type") != "purge", F.col("l.record")).alias("record"))
+            base = self._table("base", FILES)
+            old = old.unionByName(base.join(changes.select("id"), "id", "left_anti").select("id", F.struct(*_NAMES).alias("record")))
             back = own.join(old, "id", "left")
             seq = self._next_seq()
-            log = back.select((F.lit(seq) + F.monotonically_increasing_id() % (1 << 32)).alias("seq"), F.lit(now_ms()).alias("ts"), F.coalesce("l.type", F.lit("purge")).alias("type"), F.lit(self.source).alias("source"), "id", F.col("l.record").alias("record"))
-            self._publish(log, "changes")
+            kind = F.when(F.col("record").isNull(), "purge").otherwise("update")
+            self._publish(back.select(F.lit(seq).alias("seq"), F.monotonically_increasing_id().alias("sub"), F.lit(now_ms()).alias("ts"), kind.alias("type"), F.lit(self.source).alias("source"), "id", "record"), "changes")
             raise
 
     # --- reading ---
@@ -390,7 +541,7 @@ class Shelf:
         if touch:
             row["accessed_at"] = now_ms()
             seq = self._next_seq()
-            self._publish(self.spark.createDataFrame([(seq, now_ms(), "touch", self.source, id, tuple(row[n] for n in _NAMES))], CHANGES), "changes")
+            self._publish(self.spark.createDataFrame([(seq, 0, now_ms(), "touch", self.source, id, tuple(row[n] for n in _NAMES))], CHANGES), "changes")
         out = record(row)
         if include_text:
             out["text"] = row["text"]
@@ -482,10 +633,7 @@ class Shelf:
         raw = rows.select("id", "name", "mime", "kind", "tags", "folder", "favorite", "notes", "metadata", "text", "created_at", "updated_at", "width", "height", "duration_ms", F.coalesce("content", F.lit(b"").cast("binary")).alias("content"))
         n = self.ingest(raw)
         gone = self.files().join(rows.where("deleted_at > 0").select("id"), "id", "left_semi")
-        seq = self._next_seq()
-        marked = gone.withColumn("deleted_at", F.lit(now_ms())).withColumn("revision", F.col("revision") + 1)
-        log = marked.select((F.lit(seq) + F.monotonically_increasing_id() % (1 << 32)).alias("seq"), F.lit(now_ms()).alias("ts"), F.lit("delete").alias("type"), F.lit(self.source).alias("source"), "id", F.struct(*_NAMES).alias("record"))
-        self._publish(log, "changes")
+        self._publish_rows(gone.withColumn("deleted_at", F.lit(now_ms())).withColumn("revision", F.col("revision") + 1), "delete")
         return n
 
     # --- feed ---
@@ -498,8 +646,11 @@ class Shelf:
         follow(self.stream(), lambda c: self.events.emit("change", c), self.source, checkpoint).awaitTermination()
 
 
+#: What no record shows.
+_HIDDEN = frozenset("name_lower notes_lower text_lower tags_lower meta_text tags_key text content_id chunk_count chunk_size".split())
+
+
 def record(row: dict) -> dict:
     """A row as callers see it."""
-    hidden = {"name_lower", "notes_lower", "text_lower", "tags_lower", "meta_text", "tags_key", "text", "content_id", "chunk_count", "chunk_size"}
-    out = {k: v for k, v in row.items() if k not in hidden}
+    out = {k: v for k, v in row.items() if k not in _HIDDEN}
     return out | {"favorite": row["favorite"] == 1, "deleted": row["deleted_at"] > 0, "deleted_at": row["deleted_at"] or None, "metadata": json.loads(row["metadata"])}

@@ -14,7 +14,7 @@ from lakeshelf.schema import FILES
 
 EVENTS = frozenset("add update delete restore purge duplicate change open close destroy".split())
 CHANGES = T.StructType(
-    [T.StructField("seq", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("type", T.StringType()), T.StructField("source", T.StringType()), T.StructField("id", T.StringType()), T.StructField("record", FILES)]
+    [T.StructField("seq", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("ts", T.LongType()), T.StructField("type", T.StringType()), T.StructField("source", T.StringType()), T.StructField("id", T.StringType()), T.StructField("record", FILES)]
 )
 _log = logging.getLogger(__name__)
 
@@ -67,7 +67,7 @@ def follow(changes: DataFrame, listener: Callable[[dict], None], own_source: str
     present end. Returns the query."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        for row in rows.where(F.col("source") != own_source).orderBy("seq").toLocalIterator():
+        for row in rows.where(F.col("source") != own_source).orderBy("seq", "sub").toLocalIterator():
             listener({"type": row.type, "id": row.id, "record": row.record.asDict(True) if row.record else None, "remote": True})
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
