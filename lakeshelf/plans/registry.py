@@ -17,6 +17,7 @@ from lakeshelf.operators.cursor import encode_cursor
 from lakeshelf.operators.ingest import dedupe
 from lakeshelf.operators.search import resolve_search, score_column
 from lakeshelf.operators.select import Query, matched, public, select_page
+from lakeshelf.plans import shelves
 from lakeshelf.sources.tables import EPOCH, documents_as_files, parts_as_files, table
 from lakeshelf.streaming.feed import events_per_window
 
@@ -185,7 +186,7 @@ def _read_range(spark: SparkSession, d: str) -> DataFrame:
     return C.assemble(near).select("content_id", F.sha2(F.substring("data", 1000 % _CHUNK + 1 if 1000 >= _CHUNK else 1001, 2000), 256).alias("hash"))
 
 
-_add("read_range", _read_range)
+_add("read_range", _read_range, "SELECT DISTINCT 'sha256:' || sha256(coalesce(text, '')) AS content_id, sha256(encode(coalesce(text, ''))[1001:3000]) AS hash FROM documents")
 _add("content_refcount", lambda spark, d: C.reference_counts(documents_as_files(spark, d)), f"WITH {_DOCS} SELECT hash AS content_id, count(*) AS \"references\" FROM files GROUP BY hash")
 _add("distinct_contents", lambda spark, d: _chunks(spark, d).select("content_id").distinct(), f"WITH {_SIZES} SELECT content_id FROM c")
 _add("dedupe_by_hash", lambda spark, d: dedupe(documents_as_files(spark, d), documents_as_files(spark, d).where("id < '000000000100'")).select("id"), f"WITH {_DOCS} SELECT min(id) AS id FROM files f WHERE hash NOT IN (SELECT hash FROM files WHERE id < '000000000100' AND deleted_at = 0) GROUP BY hash")
@@ -265,7 +266,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_page(documents_as_files(spark, sf_dir), query).rows.select("id", "name", "size", "score", "created_at")
 
 
-_add("flagship", flagship)
+_META = "'lang ' || lang || ' length ' || n_chars || ' source ' || source"
+_BEST = "greatest(" + ", ".join(f"{w} * ({_token_sql(c, 'the', False)})" for c, w in [*_WEIGHTS.values(), (_META, 2)]) + ")"
+_add("flagship", flagship, f"WITH {_DOCS}, s AS (SELECT id, name, size, round({_BEST}, 6) AS score, created_at FROM files WHERE deleted_at = 0 AND (folder = '/docs/en' OR folder LIKE '/docs/en/%') AND size >= 200) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, created_at DESC, id LIMIT 24")
+
+
+for _name, (_run, _sql) in shelves.QUERIES.items():
+    _add(_name, _run, _sql)
 
 
 def scored(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

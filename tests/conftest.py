@@ -16,6 +16,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "100000")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shelf-shared-"))
         .getOrCreate()
     )

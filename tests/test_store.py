@@ -193,3 +193,83 @@ def test_backup_import_feed(spark, tmp_path):
     assert [c["type"] for c in heard] == ["add", "add", "delete"] and all(c["remote"] for c in heard)
     assert shelf.export_file(first, str(tmp_path)).endswith("a.txt")
     assert shelf.prune_orphans() == {"chunks": 0, "thumbnails": 0}
+
+
+def test_state_survives_and_versions_are_checked(spark, tmp_path):
+    import json
+
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    shelf.add("one", id="a")
+    shelf.compact()
+    shelf.add("two", id="b")
+    names = [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("_shelf")]
+    assert names and all(json.loads((tmp_path / "s" / n).read_text())["epoch"] <= 1 for n in names)
+    assert {r.id for r in Shelf(spark, str(tmp_path / "s")).open().files().collect()} == {"a", "b"}
+    (tmp_path / "s" / "_shelf-000000999999.json").write_text(json.dumps({"version": 99, "epoch": 1}))
+    with pytest.raises(ValidationError):
+        Shelf(spark, str(tmp_path / "s")).open()
+
+
+def test_a_failed_transaction_keeps_contents(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    shelf.add("kept", id="a")
+    shelf.compact()
+    shelf.add("kept too", id="b")
+
+    def body(s):
+        s.purge(["a", "b"])
+        s.add("inside", id="c")
+        raise KeyError
+
+    with pytest.raises(KeyError):
+        shelf.transaction(body)
+    assert shelf.get_blob("a") == b"kept" and shelf.get_blob("b") == b"kept too" and not shelf.has("c")
+    shelf.add("inside", id="c")
+    assert shelf.get_blob("c") == b"inside"
+
+
+def test_batches(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    got = shelf.add_many(["x", "y", "x"], dedupe=True)
+    assert got[0]["id"] == got[2]["id"] != got[1]["id"] and shelf.count() == 2
+    raw = spark.createDataFrame([("i", "n", bytearray(b"1")), ("i", "m", bytearray(b"2"))], "id string, name string, content binary")
+    with pytest.raises(ValidationError):
+        shelf.ingest(raw)
+    shelf.set_thumbnail(got[0]["id"], b"t", 1, 1)
+    shelf.purge([got[0]["id"]])
+    assert shelf.get_thumbnail(got[0]["id"]) is None and shelf.count() == 1
+
+
+def test_filters_of_a_compacted_shelf_reach_the_scan(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    shelf.add_many(["x", "y"], folder="/docs")
+    shelf.compact()
+    shelf.add("z", folder="/docs")
+    rows = shelf.list(where={"folder": {"startsWith": "/docs"}, "size": {"gt": 0}}).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(size,0)" in plan and "EqualTo(deleted_at,0)" in plan and "StringStartsWith(folder,/docs/)" in plan
+    assert rows.count() == 3
+
+
+def test_image_sizes(spark):
+    import struct
+
+    from lakeshelf.functions.images import image_size, image_size_columns
+    from pyspark.sql import functions as F
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 70_000)
+    gif, bmp = b"GIF89a" + struct.pack("<HH", 3, 500), b"BM" + bytes(16) + struct.pack("<ii", 9, -8)
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"xx" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 20, 30)
+    cases = [png, gif, bmp, png[:20], b"", b"GIF89a"]
+    assert [image_size(c) for c in [*cases, jpeg]] == [(640, 70_000), (3, 500), (9, 8), (None, None), (None, None), (None, None), (30, 20)]
+    df = spark.createDataFrame([(bytearray(c),) for c in cases], "c binary")
+    assert [tuple(r) for r in df.select(*image_size_columns(F.col("c"), F.lit("image/png"))).collect()] == [image_size(c) for c in cases]
+
+
+def test_natural_order_of_long_numbers(spark):
+    from lakeshelf.operators.sorting import natural_key
+    from pyspark.sql import functions as F
+
+    names = ["f" + "9" * 40, "f1" + "0" * 40, "f2", "f10", "F02b", "f"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n")))
+    assert [r.n for r in df.collect()] == ["f", "f2", "F02b", "f10", "f" + "9" * 40, "f1" + "0" * 40]
