@@ -1,29 +1,38 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, scored in context windows.
 
 The lexicon is learned from labelled documents: whole words, and stems that begin many different
-words, which mark toxic documents and hardly any clean ones. Words of a text are run through the
-trie by an automaton that allows one edit, so misspelled terms are found as well; each hit is
-weighed by its form (exact or misspelled, by their precision on the labelled sample) and by the
-window of words around it (a quotation with a verb of reporting counts less, further hits count
-more). Hits combine as independent causes: 1 - prod(1 - p).
-
-Nulls and empty texts have no hit and get the least score. Rows repeat as they are in the input,
-extra columns are ignored, an empty table gives an empty result. Without a toxic label in the
-training rows the lexicon is empty and all scores are the least score.
+words. A term has to mark more toxic documents than the best word of the sample's vocabulary would by
+chance; documents that have it after the same three words count once, so that copies of one toxic
+text add no words of their own. Words of a text are run through the trie by an automaton that allows one edit, so misspelled
+terms are found as well; each hit is weighed by its form (exact or misspelled, by the precision of
+either on labelled documents, that of misspelled ones on those without an exact term) and by the
+window of words around it (a quotation with a verb of reporting counts less, further hits in the
+window count more). Hits combine as independent causes: 1 - prod(1 - p).
+
+Nulls and empty texts have no hit and get the least score. Long texts are scored whole. Rows repeat
+as they are in the input, extra columns are ignored, an empty table gives an empty result. Ties
+between terms go to the one first in the alphabet; of several labels of one id the greatest counts.
+Without a toxic label in the training rows the lexicon is empty and all scores are the least score.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeshelf.llm.common import drop_stage, rows_of, stage, tidy
+
 #: About so many labelled rows of each label, at the most, are read to fit the lexicon.
 SAMPLE_ROWS = 6000
+#: Least precision of a term on the sample.
+PRECISION = 0.9
 #: predicted is 1 from this score.
 THRESHOLD = 0.7
 _HASHES = 1 << 48
@@ -71,8 +80,9 @@ class Trie:
 
     def learn_words(self, words: set[str]) -> None:
         """Looks up the words that weren't seen yet; their hits are then in hits."""
-        if len(self.seen) > 400_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
+            self.hits.clear()
         for word in self.near.findall("\n".join(words - self.seen)):
             hit = self._find(word)
             if hit is not None:
@@ -115,64 +125,21 @@ class Trie:
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower().replace("@", "a").replace("$", "s").replace("*", "x"))
-
+    text = text.lower().replace("@", "a").replace("$", "s").replace("*", "x")
+    if len(text) < 1 << 20:
+        return _TOKEN.findall(text)
+    known: dict[str, str] = {}  # of a long text each word is held once
+    return [known.setdefault(m[0], m[0]) for m in _TOKEN.finditer(text)]
 
-def learn(toxic: list[str], clean: list[str], toxic_total: int, clean_total: int) -> list[tuple[str, bool, float, float]]:
-    """Lexicon entries from sampled texts; the totals are those of all labelled rows."""
-    if not toxic:
-        return []
-    scale = (clean_total / max(1, len(clean))) / (toxic_total / len(toxic))  # a clean row stands for so many
-    in_toxic: Counter[str] = Counter()
-    in_clean: Counter[str] = Counter()
-    for texts, counts in ((toxic, in_toxic), (clean, in_clean)):
-        for text in texts:
-            counts.update({w for w in tokens(text) if len(w) > 2})
-
-    def precision(t: float, c: float) -> float:
-        return (t + 0.5) / (t + 1 + c * scale)
 
-    least = max(4, len(toxic) // 50)  # a term has to mark a fiftieth of the toxic rows
-    # prefixes of words that only toxic texts hold, and how many words they begin
-    marks = {w: n for w, n in in_toxic.items() if in_clean[w] * scale <= 0.1 * n}
-    forms: defaultdict[str, int] = defaultdict(int)
-    uses: defaultdict[str, int] = defaultdict(int)
-    for w, n in marks.items():
-        for k in range(4, len(w) + 1):
-            forms[w[:k]] += 1
-            uses[w[:k]] += n
-    clean_uses: defaultdict[str, int] = defaultdict(int)
-    for w, n in in_clean.items():
-        for k in range(4, len(w) + 1):
-            clean_uses[w[:k]] += n
-    stems: list[str] = []
-    for p in sorted(forms, key=lambda p: (len(p), p)):
-        if forms[p] < 6 or uses[p] < least or any(p.startswith(s) for s in stems):
-            continue
-        if precision(uses[p], clean_uses[p]) >= 0.95:
-            while True:  # as far as nearly all its words go on alike
-                more = [q for q in (p + c for c in "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöøùúûüýÿßœ'") if uses.get(q, 0) >= 0.98 * uses[p]]
-                if not more:
-                    break
-                p = more[0]
-            stems.append(p)
-    entries = [(s, True, uses[s], clean_uses[s]) for s in stems]
-    entries += [(w, False, n, in_clean[w]) for w, n in marks.items() if n >= least and precision(n, in_clean[w]) >= 0.95 and not any(w.startswith(s) for s in stems)]
-    # misspelled forms count as far as clean words stay clear of them
-    probe = Trie([(t, s, 1.0, 1.0 if len(t) >= 4 else 0.0) for t, s, _, _ in entries])
-    near_toxic: Counter[str] = Counter()
-    near_clean: Counter[str] = Counter()
-    for words, near in ((in_toxic, near_toxic), (in_clean, near_clean)):
-        for w, n in words.items():
-            hit = probe.find(w)
-            if hit and not hit[1]:
-                near[hit[0]] += n
-    out = []
-    for t, stem, n, c in entries:
-        good = precision(near_toxic[t], near_clean[t]) if len(t) >= 4 else 0.0
-        fuzzy = 0.0 if good < 0.5 or near_clean[t] > 0.002 * len(clean) + 1 else min(0.6 if stem else 0.9, good)  # one misspelled stem alone is no proof
-        out.append((t, stem, precision(n, c), fuzzy))
-    return sorted(out)
+def first_places(text: str) -> tuple[list[str], list[int]]:
+    """The words of more than two letters, and for each a hash of the three words before its first place."""
+    words = tokens(text)
+    first: dict[str, int] = {}
+    for at, w in enumerate(words):
+        if len(w) > 2 and w not in first:
+            first[w] = zlib.crc32(" ".join(words[max(0, at - 3) : at]).encode())
+    return list(first), list(first.values())
 
 
 def score(text: str, trie: Trie, window: int = 8) -> tuple[float, int]:
@@ -183,85 +150,150 @@ def score(text: str, trie: Trie, window: int = 8) -> tuple[float, int]:
     if known.keys().isdisjoint(words):
         return 0.01, 0
     hits = [(at, known[w][2]) for at, w in enumerate(words) if w in known]
-    rest = 1.0
-    for k, (at, weight) in enumerate(hits):
-        around = words[max(0, at - window) : at + window + 1]
-        others = sum(1 for o, _ in hits[max(0, k - 4) : k + 5] if o != at and abs(o - at) <= window)
+    rest, low, high = 1.0, 0, 0
+    for at, weight in hits:
+        while hits[low][0] < at - window:
+            low += 1
+        while high < len(hits) and hits[high][0] <= at + window:
+            high += 1
         before, after = words[max(0, at - window) : at], words[at + 1 : at + 1 + window]
         quoted = any(w in _QUOTES for w in before) and any(w in _QUOTES for w in after)
-        if quoted and not _REPORTING.isdisjoint(around):
+        if quoted and not (_REPORTING.isdisjoint(before) and _REPORTING.isdisjoint(after)):
             weight *= 0.3
         elif quoted:
             weight *= 0.8
-        weight = 1 - (1 - weight) ** (1 + 0.25 * others)
+        weight = 1 - (1 - weight) ** (1 + 0.25 * (high - low - 1))
         rest *= 1 - weight
     return min(0.999, max(0.01, 1 - rest)), len(hits)
 
 
-_LEXICON = "term string, stem boolean, exact double, fuzzy double"
+Entry = tuple[str, bool, float, float]
+
+
+def _starts(stem: str):
+    return lambda w: w.startswith(stem)
+
+
+def _find_all(trie: Trie):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(w, h[0]) for w in trie.near.findall("\n".join(batch.column("w").to_pylist())) if (h := trie._find(w)) and not h[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["w", "term"])
+
+    return run
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Lexicon entries learned from docs and the labels of ids that aren't held out.
+def lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Entry]:
+    """Entries (term, whether a stem, weight exact, weight misspelled) learned from docs and the
+    labels of ids that aren't held out.
 
     A bounded sample of the labels of each kind, those of least id hash (sample_rows on average, give
-    or take their square root), is sent to the documents, and their texts are fitted in one task."""
-    spark = docs.sparkSession
+    or take their square root), is sent to the documents. Words and prefixes are counted in Spark;
+    the driver sees candidate terms and which of the sampled documents hold them."""
     known = labels.where(~held_out("doc_id")).where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {0: 0, 1: 0} | {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    if not total[1]:
+        return []
     # ids whose 48-bit hash lies below the share that the sample may have of its label
     share = {t: int(min(1.0, sample_rows / max(1, n)) * _HASHES) for t, n in total.items()}
     below = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     ids = known.where(below).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_rows ids or so
-
-    def fit(table: pa.Table) -> pa.Table:
-        texts, toxic = table["text"].to_pylist(), table["toxic"].to_pylist()
-        found = learn(sorted(t for t, y in zip(texts, toxic) if y == 1), sorted(t for t, y in zip(texts, toxic) if y == 0), total[1], total[0])
-        return pa.table({"term": [x[0] for x in found], "stem": [x[1] for x in found], "exact": [x[2] for x in found], "fuzzy": [x[3] for x in found]}, schema=pa.schema([("term", pa.string()), ("stem", pa.bool_()), ("exact", pa.float64()), ("fuzzy", pa.float64())]))
-
-    if not total[1]:
-        return spark.createDataFrame([], _LEXICON)
-    return chosen.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(fit, _LEXICON)
 
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, part in rows_of(batch, "text"):
+                found = [first_places(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["toxic", "words", "places"])
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")  # 2 * sample_rows ids or so
+    sample = stage(chosen.mapInArrow(tidy(distinct), "toxic int, words array<string>, places array<long>"), "lexicon-sample")
+    rows = {0: 0, 1: 0} | {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not rows[1]:
+        return []
+    scale = (total[0] / max(1, rows[0])) / (total[1] / rows[1])  # a clean row stands for so many
+    base = rows[1] / (rows[0] + rows[1])
+    # copies of one text have a word in one neighbourhood, which counts once
+    each = sample.select("toxic", F.explode(F.arrays_zip("words", "places")).alias("w")).groupBy("w.words", "w.places").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    counts = stage(each.groupBy(F.col("words").alias("w")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "lexicon-words")
+    vocabulary = counts.count()
+    precision = (F.col("t") + 0.5) / (F.col("t") + 1 + F.col("c") * F.lit(scale))
+    # beyond what chance gives the best of so many words: t and c with the share they have against the base
+    rate = F.col("t") / (F.col("t") + F.col("c"))
+    gain = F.col("t") * F.log(rate / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - rate) / max(1e-9, 1 - base))).otherwise(0)
+    sure = (rate > base) & (precision >= PRECISION) & (gain >= math.log(100 * max(1, vocabulary)))
+    total_of = {r.w: (r.t, r.c) for r in counts.where(sure).orderBy("w").collect()}
+    # prefixes of words that toxic texts hold, and how many such words they begin
+    mark = F.col("c") * F.lit(scale) <= 0.1 * F.col("t")
+    prefixes = counts.where("length(w) >= 4").withColumn("p", F.expr("explode(transform(sequence(4, least(length(w), 30)), k -> substring(w, 1, k)))"))
+    prefixes = prefixes.groupBy("p").agg(F.count_if(mark).alias("forms"), F.sum("t").alias("t"), F.sum("c").alias("c")).where((F.col("forms") >= 6) & sure)
+    of_prefix = {r.p: (r.t, r.c) for r in prefixes.orderBy("p").collect()}
+    stems: list[str] = []
+    for p in sorted(of_prefix, key=lambda p: (len(p), p)):
+        if any(p.startswith(s) for s in stems):
+            continue
+        # as far as nearly all its words go on alike
+        while more := [q for q in of_prefix if len(q) == len(p) + 1 and q.startswith(p) and of_prefix[q][0] >= 0.98 * of_prefix[p][0]]:
+            p = more[0]
+        stems.append(p)
+    total_of = {w: n for w, n in total_of.items() if not any(w.startswith(s) for s in stems)} | {s + "*": of_prefix[s] for s in stems}
+    picked = list(total_of)
+
+    def good(t: float, c: float) -> float:
+        return (t + 0.5) / (t + 1 + c * scale)
 
-_TRIES: dict[tuple, Trie] = {}
+    # misspelled forms count as far as clean documents stay clear of them
+    trie = Trie([(t.rstrip("*"), t.endswith("*"), 1.0, 1.0 if len(t) >= 4 else 0.0) for t in picked])
+    near = {r.w: r.term for r in counts.select("w").mapInArrow(_find_all(trie), "w string, term string").collect()} if picked else {}
+    near_of: dict[str, Counter[int]] = {}
+    if near:
+        exact = F.arrays_overlap("words", F.array(*(F.lit(t) for t in picked)))
+        for t in picked:
+            if t.endswith("*"):
+                exact |= F.exists("words", _starts(t[:-1]))
+        forms = F.array(*(F.lit(w) for w in sorted(near)))
+        bare = sample.where(~exact).select("toxic", F.explode(F.array_intersect("words", forms)).alias("w")).groupBy("w", "toxic").count()
+        for r in bare.collect():
+            near_of.setdefault(near[r.w], Counter())[r.toxic] += r["count"]
+    drop_stage(sample)
+    drop_stage(counts)
+    out = []
+    for t in picked:
+        n, m = total_of[t], near_of.get(t.rstrip("*"), Counter())
+        # without a sign of clean use a misspelled term is nearly as good as the term
+        fuzzy = 0.0 if len(t) < 4 else 0.9 if not m[0] else good(m[1], m[0])
+        out.append((t.rstrip("*"), t.endswith("*"), good(*n), fuzzy if fuzzy >= 0.5 else 0.0))
+    return sorted(out)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits for every row of docs.
 
-    Labels of held-out ids are never read. The lexicon holds few terms, as each needs a share of the
-    bounded sample; it goes to the tasks with the function."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(docs, labels, sample_rows).collect())
+    Labels of held-out ids are never read. The lexicon holds few terms, as each needs documents of
+    the bounded sample of its own; it goes to the tasks with the function."""
+    text = docs.select("doc_id", "text")
+    entries = lexicon(docs, labels, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _TRIES.get(entries)
-        if trie is None:
-            _TRIES.clear()
-            trie = _TRIES[entries] = Trie(list(entries))
+        trie = Trie(entries)
         for batch in batches:
-            got = [score(t, trie) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= threshold) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())],
-                ["doc_id", "held_out", "score", "predicted", "n_hits"],
-            )
+            for texts, part in rows_of(batch, "text"):
+                got = [score(t, trie) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= threshold) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())],
+                    ["doc_id", "held_out", "score", "predicted", "n_hits"],
+                )
 
-    return text.withColumn("held_out", held_out("doc_id")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_hits int")
+    return text.withColumn("held_out", held_out("doc_id")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, n_hits int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns, in one pass."""
-    entries = tuple((r.term, r.stem, r.exact, r.fuzzy) for r in lexicon(docs, labels, options.get("sample_rows", SAMPLE_ROWS)).collect())
-    threshold = options.get("threshold", THRESHOLD)
+    entries = lexicon(docs, labels, sample_rows)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(list(entries))
+        trie = Trie(entries)
         for batch in batches:
-            mask = [score(t or "", trie)[0] < threshold for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(mask, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
-
+            for texts, part in rows_of(batch, "text"):
+                yield part.filter(pa.array([score(t, trie)[0] < threshold for t in texts], pa.bool_()))
 
+    return docs.mapInArrow(tidy(keep), docs.schema)
