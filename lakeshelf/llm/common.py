@@ -5,9 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import inspect
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,43 @@ _SHARED = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where none is set (tests)."""
     found = spark.conf.get(_SHARED, None) or spark.sparkContext.getConf().get(_SHARED)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {_SHARED} to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="shelf-shared-")
         spark.conf.set(_SHARED, found)
     return found.rstrip("/")
 
 
+#: Paths of staged tables, by the scopes that are open.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths of what is staged inside, for drop_paths."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def drop_paths(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes staged tables, but for the one that keep reads; nothing may read them any more."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    for path in paths:
+        if path.split(":", 1)[-1].lstrip("/") not in kept:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    for paths in _SCOPES:
+        paths.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)
 
