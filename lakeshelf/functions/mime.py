@@ -103,8 +103,10 @@ def text_preview(data: bytes, mime: str, most: int) -> str:
 # --- columns ---
 
 
-def _lookup(key: Column, table: dict[str, str]) -> Column:
-    return F.create_map([F.lit(x) for pair in table.items() for x in pair])[key]
+def _lookup(key: Column, of: dict[str, str]) -> Column:
+    """The entry of a key, null where there is none; one call to the JVM for all entries."""
+    entries = ", ".join(f"'{k}', '{v}'" for k, v in of.items())  # constants without quotes
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def extension_column(name: Column) -> Column:
