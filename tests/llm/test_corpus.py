@@ -190,6 +190,36 @@ def test_oversized_groups_lose_no_chain():
     assert len({find(k) for k in range(len(sigs))}) == 40
 
 
+def test_simhash_finds_pairs_at_the_similarity():
+    rng = np.random.Generator(np.random.PCG64(23))
+    for size in (9, 40, 400):
+        sets = []
+        for _ in range(300):  # two sets of size with 8 / 10 in common of their union
+            both = rng.integers(0, 2**63, size * 8 // 9, dtype=np.uint64)
+            sets += [np.sort(np.concatenate([both, rng.integers(0, 2**63, size - len(both), dtype=np.uint64)])) for _ in range(2)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sigs = simhash.signatures(np.concatenate(sets), offsets)
+        noise = rng.integers(0, 256, (20_000, simhash.BITS // 8), dtype=np.uint8)
+        (outer, tables), inner = simhash.plan(len(sigs) + len(noise))
+        assert outer == 0 and simhash.found_share((outer, tables), inner) >= simhash.RECALL
+        found = set()
+        for t in range(tables):
+            pairs = simhash.near_pairs(np.arange(len(sigs) + len(noise)), np.concatenate([sigs, noise]), t, *inner)
+            found |= {(a, b) for a, b in pairs.tolist()}
+        assert sum((2 * k, 2 * k + 1) in found for k in range(300)) >= 0.93 * 300, size
+
+
+def test_hot_groups_meet_in_blocks(spark):
+    rng = np.random.Generator(np.random.PCG64(24))
+    base = rng.integers(0, 256, simhash.BITS // 8, dtype=np.uint8)
+    sigs = np.repeat(base[None], 400, axis=0)
+    for k in range(400):
+        sigs[k, rng.integers(0, 32, 3)] ^= np.uint8(1) << rng.integers(0, 8, 3).astype(np.uint8)
+    reps = spark.createDataFrame([(k, bytearray(sigs[k].tobytes())) for k in range(400)], "id long, sig binary").repartition(3)
+    links = [(r.a, r.b) for r in simhash.candidate_pairs(reps, 400, group=32).collect()]
+    assert {r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == {0} and len({x for p in links for x in p}) == 400
+
+
 # --- 3 and 5 ---
 
 
@@ -465,6 +495,15 @@ def test_large_groups_by_sketch():
     assert {(2 * k, 2 * k + 1) for k in range(1500)} <= {(min(p), max(p)) for p in found}
 
 
+def test_names_may_clash(spark):
+    line = "a line that is long enough to be one that many documents have in common with others"
+    rows = [(1, line + "\nown", 3, 4, 5), (2, line, 3, 4, 5), (None, line, 3, 4, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _left long, _id long")
+    for drop in (lines.drop_repeated, suffix.drop_passages, simhash.keep_one):
+        out = drop(docs)
+        assert out.schema == docs.schema and all((r._gone, r._left, r._id) == (3, 4, 5) for r in out.collect())
+
+
 def test_repeated_lines_are_dropped(spark):
     rows = [(1, "a line that many documents have\nown text of one"), (2, "A line that many documents have\n\nown text of two"), (3, None), (4, "")]
     got = {r.doc_id: r.text for r in lines.drop_repeated(frame(spark, rows)).collect()}
@@ -540,6 +579,20 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.score_documents(frame(spark, rows), labels.where("false")).collect()} == {0}
 
 
+def test_the_automaton_is_the_edit_distance():
+    rng = random.Random(31)
+    terms = ["clown", "scum", "idiot", "abba", "aaab"]
+    trie = toxicity.Trie([(t, False, 0.9, 0.8) for t in terms])
+    made = {t for t in terms}
+    for t in terms * 60:
+        made.add(mutated(rng, t.encode(), rng.choice((1, 1, 2, 3))).decode())
+    made |= {"".join(rng.choice("abcdinotu") for _ in range(rng.randint(1, 7))) for _ in range(400)}
+    for w in made:
+        least = min(edits(w.encode(), t.encode()) for t in terms)
+        hit = trie.find(w)
+        assert (hit is not None) == (least <= 1) and (hit is None or hit[1] == (least == 0)), w
+
+
 def test_a_quotation_counts_less():
     trie = toxicity.Trie([("horrible", False, 0.9, 0.8)])
     plain, quoted = toxicity.score("you are horrible today", trie)[0], toxicity.score('he said "you are horrible" today', trie)[0]
