@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lakeshelf.errors import ValidationError
@@ -15,7 +16,7 @@ from lakeshelf.operators.chunks import assemble
 from lakeshelf.operators.cursor import decode_cursor, encode_cursor
 from lakeshelf.operators.search import resolve_search, scores_column
 from lakeshelf.operators.sorting import Sort, after, cursor_value, normalize_sorts, order_by
-from lakeshelf.operators.where import compile_where
+from lakeshelf.operators.where import PUBLIC, compile_where
 from lakeshelf.schema import SEARCH_COLUMNS
 
 PAGE = 100
@@ -53,9 +54,25 @@ def normalize_offset(offset: float | None) -> int:
     return int(offset)
 
 
+def _tested(rows: DataFrame, test: Callable[[dict], object]) -> DataFrame:
+    """The rows whose record passes a Python predicate, in Arrow batches. A function in the filter
+    itself could be pushed down among derived columns, where Spark doesn't always take it out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(test(r)) for r in batch.select(PUBLIC).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def matched(files: DataFrame, where: dict | None, search: str | dict | None) -> tuple[DataFrame, bool]:
     """Matching rows, with a score where there is a search."""
-    rows = files.where(compile_where(where))
+    custom = (where or {}).get("custom")
+    if callable(custom) and not isinstance(custom, Column):
+        rest = {k: v for k, v in (where or {}).items() if k != "custom"}
+        rows = _tested(files.where(compile_where(rest)), custom)
+    else:
+        rows = files.where(compile_where(where))
     resolved = resolve_search(search)
     if resolved is None:
         return rows, False
