@@ -19,7 +19,8 @@ import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -92,39 +93,31 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.words) > _CACHE_WORDS:
-            self.words = {"": b""}
-            self.bare = {}
-        plain: list[tuple[str, str, str]] = []
-        bare = self.bare
-        wanted: dict[str, str] = {}
-        for w in new:
-            core = w.rstrip(string.punctuation)
-            if core.isalpha() and len(core) <= 100 and (core.isascii() or (unicodedata.is_normalized("NFC", core) and "\u03a3" not in core)):
-                low = core.lower()
-                if not low.isascii() and not (low.isalpha() and unicodedata.is_normalized("NFC", low)):
-                    self.words[w] = self._whole(w)
-                    continue
-                plain.append((w, low, w[len(core) :]))
-                if low not in bare and low not in wanted:
-                    if low.isascii():
-                        wanted[low] = low[:-1] + self.last[ord(low[-1])]
-                    else:
-                        raw = low.encode()
-                        wanted[low] = raw[:-1].decode("latin-1").translate(self.inner) + self.last[raw[-1]]
-            else:
+        items = list(new)
+        cores = [w.rstrip(string.punctuation) for w in items]
+        lows = "\n".join(cores).lower().split("\n")  # letter by letter, but for a capital sigma
+        nfc = unicodedata.is_normalized
+        ok = [c.isalpha() and len(c) <= 100 and (c.isascii() or ("\u03a3" not in c and low.isalpha() and nfc("NFC", c) and nfc("NFC", low))) for c, low in zip(cores, lows, strict=True)]
+        for w, plain in zip(items, ok):
+            if not plain:
                 self.words[w] = self._whole(w)
+        ends = [w[len(c) :] for w, c in compress(zip(items, cores), ok)]
+        lows = list(compress(lows, ok))
+        wanted = list(set(lows).difference(self.bare))
         if wanted:
-            got = np.array(self.merger.encode_ordinary("\n".join(wanted.values())), np.int64)
+            marked = [w[:-1] + self.last[ord(w[-1])] if w.isascii() else (raw := w.encode())[:-1].decode("latin-1").translate(self.inner) + self.last[raw[-1]] for w in wanted]
+            got = np.array(self.merger.encode_ordinary("\n".join(marked)), np.int64)
             cuts = np.flatnonzero(got == self.mark)
             raw = self.ids[got].tobytes()
             for low, a, b in zip(wanted, [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), len(raw)], strict=True):
-                bare[low] = raw[a:b]
-        words, points = self.words, self.points
-        for w, low, end in plain:
-            if end not in points:
-                points[end] = self._whole(end)
-            words[w] = bare[low] + points[end]
+                self.bare[low] = raw[a:b]
+        for end in set(ends).difference(self.points):
+            self.points[end] = self._whole(end)
+        self.words.update(zip(compress(items, ok), map(add, map(self.bare.__getitem__, lows), map(self.points.__getitem__, ends))))
+
+    def forget(self) -> None:
+        """Drops the words that were looked up."""
+        self.words, self.bare, self.points = {"": b""}, {}, {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
@@ -134,18 +127,13 @@ class WordEncoder:
             flat = list(chain.from_iterable(split))
             found = list(map(self.words.get, flat))
             if None in found:
-                self._learn({w for w, f in zip(flat, found) if f is None})
-                words = self.words
-                if len(flat) > 64 * found.count(None):
-                    at = -1
-                    try:
-                        while True:
-                            at = found.index(None, at + 1)
-                            found[at] = words[flat[at]]
-                    except ValueError:
-                        pass
-                else:
-                    found = [words[w] if f is None else f for w, f in zip(flat, found)]
+                if len(self.words) > _CACHE_WORDS:
+                    self.forget()
+                at = [k for k, f in enumerate(found) if f is None]
+                new = [flat[k] for k in at]
+                self._learn(set(new))
+                for k, f in zip(at, map(self.words.__getitem__, new)):
+                    found[k] = f
             at = 0
             for words_of in split:
                 out.append(b"".join(found[at : at + len(words_of)]))  # type: ignore[arg-type]

@@ -101,6 +101,17 @@ def test_packing_finds_neighbours():
     assert sum(len(s) == 1 for s in sides.values()) >= len(sides) - 2
 
 
+def test_word_encoder_learns_again_what_it_forgot(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_WORDS", 5)
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    texts = [words(rng, 40, 60) + " \u0130stanbul \u039f\u03a3 \u212a \u00c9t\u00e9, a\u0301 !? \u00df. Stra\u00dfe" for _ in range(300)]
+    for k in (0, 150):
+        for text, ids in zip(texts[k : k + 150], enc.encode(texts[k : k + 150]), strict=True):
+            assert np.frombuffer(ids, np.uint16).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(enc.words) <= 200
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(frame(spark, []).where("false"), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
