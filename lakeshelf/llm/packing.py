@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import documents, mix, stage
+from lakeshelf.llm.common import documents, kept, mix, stage, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -142,6 +142,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+kept(_ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -301,4 +302,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
         columns = {"doc_id": doc_ids[doc], "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": sizes[doc], "sequence_id": (int(key[0].as_py()) << 32) + sequence, "offset": offset}
         return pa.table({k: pa.array(v, pa.int64()) if not isinstance(v, pa.Array) else v for k, v in columns.items()})
 
-    return routed.groupBy("shard").applyInArrow(run, _PIECES)
+    return routed.groupBy("shard").applyInArrow(tidy(run), _PIECES)

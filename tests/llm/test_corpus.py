@@ -13,7 +13,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from lakeshelf.llm import bpe, forest, html, lines, lm, packing, simhash, suffix, threshold, toxicity  # noqa: E402
-from lakeshelf.llm.common import components, spans  # noqa: E402
+from lakeshelf.llm.common import components, spans, tidy  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, part string, id string, block string"
 
@@ -101,6 +101,18 @@ def test_packing_finds_neighbours():
     assert sum(len(s) == 1 for s in sides.values()) >= len(sides) - 2
 
 
+def test_other_tasks_drop_the_encoders_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packing.encoder(path).encode(["some words"])
+    assert packing._ENCODERS
+    assert list(tidy(passed_on)(iter([1]))) == [1]
+    assert not packing._ENCODERS
+
+
+def passed_on(of):
+    yield from of
+
+
 def test_word_encoder_learns_again_what_it_forgot(monkeypatch):
     monkeypatch.setattr(packing, "_CACHE_WORDS", 5)
     enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
