@@ -521,6 +521,56 @@ def test_winnowed_runs_stay():
         assert all(length + window - 1 <= -(-(n - n // 25) // (n // 25 + 1)) for n in range(least, min(below, 5000)))
 
 
+def test_bytes_around_cover_every_run():
+    for *_, window in lines.WINNOW:
+        first, second, third = lines.reaches(window)
+        for before in range(window):
+            after = window - 1 - before
+            sides = (after >= third, before >= first and after >= second, before >= second and after >= first, before >= third)
+            assert any(sides) and third <= 16
+    rng = random.Random(21)
+    for _ in range(40):
+        run = bytes(rng.choice(b"abcdefgh ") for _ in range(24))
+        texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(300)) + run + bytes(rng.choice(b"abcdefgh ") for _ in range(280)) for _ in range(2)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        keys = [set(), set()]
+        for row, key, _ in lines.winnowed(data, np.array([0, 604]), np.array([604, 1208])):
+            for r, k in zip(row.tolist(), key.tolist()):
+                keys[r].update((side, k & (0xFFFFFFFFFF000000 | side)) for side in lines.SIDES)
+        assert keys[0] & keys[1]
+
+
+def test_entries_and_pairs_are_small():
+    rng = np.random.Generator(np.random.PCG64(22))
+    n = 5000
+    keys, ids = rng.integers(0, 1 << 40, n).astype(np.uint64), rng.integers(0, 1 << 40, n).astype(np.uint64)
+    shape = (rng.integers(75, 800, n) << 16 | rng.integers(0, 800, n)).astype(np.uint64)
+    raw = lines._pack_entries(keys, ids, shape)
+    assert len(raw) < 12.5 * n  # 16 bytes each before
+    order = np.argsort(keys)
+    for got, want in zip(lines._entries([raw, raw]), (keys, ids, shape)):
+        assert np.array_equal(got, np.tile(want[order], 2))
+    pairs = {(int(a), int(a + d)) for a, d in zip(rng.integers(0, 900, n), rng.integers(1, 90, n))}
+    a, b = (np.array(x, np.uint64) for x in zip(*sorted(pairs, key=lambda p: (p[1], p[0]))))
+    got = lines._pairs([lines._pack_pairs(a, b), lines._pack_pairs(a[::2], b[::2])])
+    assert np.array_equal(got[0], a) and np.array_equal(got[1], b)
+
+
+def test_many_lines_are_compared_at_a_time():
+    rng = random.Random(23)
+    texts = []
+    for _ in range(60):
+        base = bytes(rng.choice(b"abcd ") for _ in range(rng.choice((1, 10, 15, 16, 40, 74, 75, 130, 400))))
+        texts += [base, *(mutated(rng, base, rng.randint(0, len(base) // 15 + 2)) for _ in range(3))]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    a, b = (np.array(x) for x in zip(*((g + i, g + j) for g in range(0, len(texts), 4) for i in range(4) for j in range(i))))
+    want = [edits(texts[i], texts[j]) <= lines.allowed(min(len(texts[i]), len(texts[j]))) for i, j in zip(a, b)]
+    assert 50 < sum(want) < len(want) - 50
+    assert lines.alike(data, offsets, a, b).tolist() == want
+    size = np.diff(offsets)
+    assert lines.within_many(data, offsets[a], size[a], offsets[b], size[b], np.full(len(a), 3)).tolist() == [lines.within(texts[i], texts[j], 3) for i, j in zip(a, b)]
+
+
 def test_large_groups_by_sketch():
     rng = np.random.Generator(np.random.PCG64(13))
     sketch = rng.integers(0, 2**63, 3000, dtype=np.uint64)
