@@ -571,6 +571,24 @@ def test_many_lines_are_compared_at_a_time():
     assert lines.within_many(data, offsets[a], size[a], offsets[b], size[b], np.full(len(a), 3)).tolist() == [lines.within(texts[i], texts[j], 3) for i, j in zip(a, b)]
 
 
+def test_bands_of_one_word_are_compared_at_a_time(monkeypatch):
+    rng = random.Random(29)
+    texts, allowed = [], []
+    for k in range(240):
+        base = bytes(rng.choice(b"abcdefgh ") for _ in range(rng.choice((0, 1, 20, 60, 131, 200))))
+        allowed.append(rng.choice((0, 2, 15, 16, 31)))
+        texts += [base, mutated(rng, base, rng.randint(0, 2 * allowed[-1] + 1)) if k % 40 else b""]
+    data, offsets, allowed = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.array(allowed)
+    size, a, b = np.diff(offsets), np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    want = [edits(texts[i], texts[j]) <= k for i, j, k in zip(a, b, allowed)]
+    assert 50 < sum(want) < len(want) - 50
+    pairs = (data, offsets[a], size[a], offsets[b], size[b], allowed)
+    assert lines._within_reach(*pairs).tolist() == want
+    reached = []
+    monkeypatch.setattr(lines, "_within_reach", lambda data, a, *rest: (reached.extend(a), np.zeros(len(a), bool))[1])
+    assert lines.within_many(*pairs).tolist() == want and not reached
+
+
 def test_large_groups_by_sketch():
     rng = np.random.Generator(np.random.PCG64(13))
     sketch = rng.integers(0, 2**63, 3000, dtype=np.uint64)
