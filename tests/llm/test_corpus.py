@@ -113,6 +113,25 @@ def passed_on(of):
     yield from of
 
 
+def test_packing_gives_memory_back_but_keeps_its_words(monkeypatch):
+    from lakeshelf.llm import common
+
+    path, given = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    packing.encoder(path).encode(["some words"])
+    assert list(tidy(passed_on, keeps=True)(iter([1]))) == [1]
+    assert given and "some" in packing._ENCODERS[path].words
+
+
+def test_a_worker_keeps_few_words():
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join(f"{a}{b}{c}{d}q" for c in letters for d in letters) for a in letters for b in letters[:20]]  # 351,520 words
+    enc.encode(texts)
+    assert len(enc.words) < 300_000 + 128 * 26 * 26
+    assert np.frombuffer(enc.encode(texts[:1])[0], np.uint16).tolist() == enc.tokenizer.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_word_encoder_learns_again_what_it_forgot(monkeypatch):
     monkeypatch.setattr(packing, "_CACHE_WORDS", 5)
     enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
@@ -705,6 +724,23 @@ def test_a_quotation_counts_less():
 # --- the pipeline ---
 
 
+def test_stages_begin_with_small_heaps(spark, monkeypatch):
+    import corpus_pipeline
+    from lakeshelf.llm import common
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+
+    before = collections()
+    common.shrink_heaps(spark)
+    assert collections() > before
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", called.append)
+    corpus_pipeline.pack(spark, frame(spark, ODD).where("doc_id < 3"), "")
+    assert called == [spark]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
