@@ -18,7 +18,7 @@ import os
 import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, compress
 from operator import add
 
@@ -27,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeshelf.llm.common import documents, kept, mix, stage, tidy
+from lakeshelf.llm.common import _BASE as BASE
+from lakeshelf.llm.common import _BASE_INV as BASE_INV
+from lakeshelf.llm.common import RangeHasher, documents, kept, mix, pieces, stage, tidy
+from lakeshelf.llm.common import _powers as powers
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +41,13 @@ _QUERY_TERMS, _NEIGHBOURS = 32, 64
 _K1, _B = 1.2, 0.75
 #: Words that a worker keeps; twice as many take 50 MB more and find hardly more of a text's words.
 _CACHE_WORDS = 300_000
+#: Runs of letters or punctuation that a worker's table keeps, letters of texts that go through it in one
+#: call, and fewest letters for which that pays.
+_TABLE_RUNS, _AT_ONCE, _FEW = 1 << 19, 1 << 19, 1 << 14
+#: Letters from here on are left to the tokenizer.
+_TOP = 0x530
 _WORD_END = "</w>"
+_LETTER = np.random.Generator(np.random.PCG64(49)).integers(1, 2**63, _TOP + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordEncoder:
@@ -47,7 +56,8 @@ class WordEncoder:
 
     Most new words are letters and perhaps punctuation after them. Their merges run in one call for many,
     with each letter's byte, and a word's last byte, as a symbol of its own; all other words go
-    through the tokenizer itself."""
+    through the tokenizer itself. Many texts go through a table of such runs in arrays, of which runs are
+    found by hash and compared letter by letter."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -89,6 +99,25 @@ class WordEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.bare: dict[str, bytes] = {}
         self.points: dict[str, bytes] = {"": b""}
+        # by code point: space, letter, punctuation or else; lower case; symbols of its bytes, but the last one's as last
+        self.kind = np.full(_TOP + 1, 3, np.uint8)
+        self.low, self.lead, self.inside, self.final = np.zeros((4, _TOP + 1), np.uint16)
+        nfc = unicodedata.is_normalized
+        for k, c in enumerate(map(chr, range(_TOP))):
+            low = c.lower()
+            if c in " \n":
+                self.kind[k] = 0
+            elif c in string.punctuation:
+                self.kind[k] = 2
+            elif (k < 0x250 or k >= 0x370) and k != 0x3A3 and c.isalpha() and len(low) == 1 and ord(low) < _TOP and low.isalpha() and nfc("NFC", c) and nfc("NFC", low):
+                self.kind[k] = 1
+            else:
+                continue
+            raw = low.encode()
+            self.low[k] = ord(low)
+            self.lead[k] = ord(self.inner[raw[0]]) if len(raw) > 1 else 0
+            self.inside[k], self.final[k] = ord(self.inner[raw[-1]]), ord(self.last[raw[-1]])
+        self.table: RunTable | None = None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
@@ -120,9 +149,79 @@ class WordEncoder:
         """Drops the words that were looked up."""
         self.words, self.bare, self.points = {"": b""}, {}, {"": b""}
 
+    def _merge(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs, whose lower-case letters are low, one after the other, and the number of each one's."""
+        two = low >= 128
+        last = np.zeros(len(low), bool)
+        last[np.cumsum(size) - 1] = True
+        at = np.cumsum(1 + two + last) - last - 1
+        marked = np.full(int(at[-1]) + 1, 10, np.uint16)
+        marked[at] = np.where(last, self.final[low], self.inside[low])
+        marked[at[two] - 1] = self.lead[low[two]]
+        got = self.merger.encode_to_numpy(marked.tobytes().decode("utf-16-le"))
+        mark = got == self.mark
+        cuts = np.concatenate([[-1], np.flatnonzero(mark), [len(got)]])
+        return self.ids[got[~mark]], np.diff(cuts) - 1
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        """encode() by the table."""
+        whole = "\n".join(texts) + "\n"
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        points = np.minimum(points, _TOP).astype(np.uint16)
+        kind, low = self.kind[points], self.low[points]
+        begin = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1])
+        stop = np.append(begin[1:], len(kind))
+        kind = kind[begin]
+        before = np.concatenate([[0], kind[:-1]])
+        word = np.cumsum(kind == 0)
+        # letters, and punctuation after them, or none, are plain
+        odd = np.zeros(word[-1] + 1, bool)
+        odd[word[(kind == 3) | (kind == 2) & (before == 0) | (kind == 1) & ((before == 2) | (stop - begin > 100))]] = True
+        solid = kind > 0
+        plain = solid & ~odd[word]
+        others = np.flatnonzero(solid & odd[word])
+        begin, stop, word, others = begin[plain], stop[plain], word[others], (begin[others], stop[others])
+        if self.table is None:
+            self.table = RunTable()
+        start, size, wrong = self.table.find(low, begin, stop, self._merge)
+        # what the tokenizer itself encodes stands behind the table's ids
+        opens = np.concatenate([[True], word[1:] != word[:-1]])[: len(word)]
+        closes = np.append(opens[1:], True)[: len(word)]
+        a, b = others[0][opens], others[1][closes]
+        if len(wrong):
+            a, b = np.concatenate([a, begin[wrong]]), np.concatenate([b, stop[wrong]])
+            begin, start, size = (np.delete(x, wrong) for x in (begin, start, size))
+            order = np.argsort(a)
+            a, b = a[order], b[order]
+        ids = self.table.ids[: self.table.ids_used]
+        if len(a):
+            if len(self.words) > _CACHE_WORDS:
+                self.forget()
+            found = [whole[i:j] for i, j in zip(a.tolist(), b.tolist())]
+            if new := set(found).difference(self.words):
+                self._learn(new)
+            extra = list(map(self.words.__getitem__, found))
+            n = np.fromiter(map(len, extra), np.int64, len(extra)) // 2
+            at = np.searchsorted(begin, a)
+            begin, start, size = np.insert(begin, at, a), np.insert(start, at, len(ids) + np.cumsum(n) - n), np.insert(size, at, n)
+            ids = np.concatenate([ids, np.frombuffer(b"".join(extra), np.uint16)])
+        sums = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.arange(sums[-1]) + np.repeat(start - sums[:-1], size)].tobytes()
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        cuts = [0, *(2 * sums[np.searchsorted(begin, ends)]).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         out: list[bytes] = []
+        for i, j in pieces(np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]), _AT_ONCE):
+            part = texts[i:j]
+            out += self._many(part) if _FEW <= sum(map(len, part)) <= 2 * _AT_ONCE else self._few(part)
+        return out
+
+    def _few(self, texts: list[str]) -> list[bytes]:
+        """encode() by the words."""
+        out: list[bytes] = []
         for i in range(0, len(texts), 128):
             split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 128]]
             flat = list(chain.from_iterable(split))
@@ -142,6 +241,74 @@ class WordEncoder:
         return out
 
 
+class RunTable:
+    """Ids of runs of letters. A run's place is the high bits of its hash; another run takes it over."""
+
+    def __init__(self):
+        self.hashes = np.zeros(2 * _TABLE_RUNS, np.uint64)
+        self.places = np.zeros(2 * _TABLE_RUNS, np.int32)
+        self.shift = np.uint64(64 - (2 * _TABLE_RUNS - 1).bit_length())
+        # memory is taken as it is filled
+        self.letters, self.ids = np.zeros(16 * _TABLE_RUNS + 4 * _AT_ONCE, np.uint16), np.zeros(8 * _TABLE_RUNS + 4 * _AT_ONCE, np.uint16)
+        self.letters_first, self.ids_first = np.zeros((2, _TABLE_RUNS + 2 * _AT_ONCE + 1), np.int32)
+        self.runs = self.letters_used = self.ids_used = 0
+
+    def _forget(self) -> None:
+        self.hashes[:] = 0
+        self.runs = self.letters_used = self.ids_used = 0
+
+    def find(self, low: np.ndarray, begin: np.ndarray, stop: np.ndarray, merge: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each run's ids begin and how many they are, and the runs that share another one's hash."""
+        none = np.empty(0, np.int64)
+        if not len(begin):
+            return none, none, none
+        h = LetterHasher(low)(begin, stop)
+        slot = (h >> self.shift).astype(np.int64)
+        size = stop - begin
+        if self.runs > _TABLE_RUNS or max(self.letters_used, 2 * self.ids_used) > 16 * _TABLE_RUNS:
+            self._forget()
+        run = self.places[slot].astype(np.int64)
+        miss = np.flatnonzero(self.hashes[slot] != h)
+        if len(miss):
+            order = miss[np.argsort(h[miss])]
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            run[order] = self.runs + np.cumsum(new) - 1
+            self._add(low, begin, size, order[new], merge)
+            self.hashes[slot[order]], self.places[slot[order]] = h[order], run[order]
+        sums = np.cumsum(size)
+        at = np.arange(sums[-1]) + np.repeat(begin - sums + size, size)
+        there = self.letters_first[run]
+        wrong = none
+        same = self.letters[np.minimum(at + np.repeat(there - begin, size), len(self.letters) - 1)] == low[at]
+        alike = self.letters_first[run + 1] - there == size
+        if not alike.all() or not same.all():
+            wrong = np.flatnonzero(~(alike & np.logical_and.reduceat(same, sums - size)))
+        start = self.ids_first[run].astype(np.int64)
+        return start, self.ids_first[run + 1] - start, wrong
+
+    def _add(self, low: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray, merge: Callable) -> None:
+        begin, size = begin[new], size[new]
+        sums = np.cumsum(size)
+        letters = low[np.arange(sums[-1]) + np.repeat(begin - sums + size, size)]
+        ids, counts = merge(letters, size)
+        own = slice(self.runs + 1, self.runs + 1 + len(new))
+        self.letters_first[own], self.ids_first[own] = self.letters_used + sums, self.ids_used + np.cumsum(counts)
+        self.letters[self.letters_used : self.letters_used + len(letters)] = letters
+        self.ids[self.ids_used : self.ids_used + len(ids)] = ids
+        self.runs, self.letters_used, self.ids_used = self.runs + len(new), self.letters_used + len(letters), self.ids_used + len(ids)
+
+
+class LetterHasher(RangeHasher):
+    """Hashes of any ranges of code points below _TOP."""
+
+    def __init__(self, low: np.ndarray):
+        self.n = len(low)
+        self.prefix = np.empty(self.n + 1, np.uint64)
+        self.prefix[0] = 0
+        np.cumsum(_LETTER[low] * powers(BASE, self.n), dtype=np.uint64, out=self.prefix[1:])
+        self.inverse = powers(BASE_INV, self.n + 1)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 kept(_ENCODERS.clear)
 

@@ -143,6 +143,33 @@ def test_word_encoder_learns_again_what_it_forgot(monkeypatch):
     assert len(enc.words) <= 200
 
 
+@pytest.mark.parametrize("clash", (False, True))
+def test_the_table_of_runs_is_the_tokenizer(monkeypatch, clash):
+    monkeypatch.setattr(packing, "_FEW", 0)
+    monkeypatch.setattr(packing, "_AT_ONCE", 3000)
+    monkeypatch.setattr(packing, "_TABLE_RUNS", 512)
+    if clash:
+        own = packing.RangeHasher.__call__
+        monkeypatch.setattr(packing.LetterHasher, "__call__", lambda self, a, b: own(self, a, b) & np.uint64(0xF << 60))
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    parts = ["a", "The", "n't", "'s", " ", " ", "\n", "\t", "\u00c9", "\u00df", "\u65e5\u672c", "<|endoftext|>", "12", "!?", "...", "\u0301", "\u03a3", "\u0130", "\U0001f642", "wonderful", "(", "na\u00efve.", "x" * 99, "x" * 101, "\u0436\u0416", "\u01c5", "\x00", "\r"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [" ".join("".join(rng.choice("abcd\u00e9") for _ in range(rng.randint(1, 9))) + rng.choice(("", "", ",", ".)")) for _ in range(60)) for _ in range(100)] + ["", "y " * 4000, ""]
+    for _ in range(2):  # learned and known
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, np.uint16).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert enc.table.runs <= 512 + 3000
+
+
+def test_common_words_are_encoded_in_bulk():
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)) for _ in range(40)]
+    enc.encode(texts)
+    assert len(enc.words) == 1 and enc.table.runs > 10_000  # no Python object a word
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(frame(spark, []).where("false"), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
