@@ -190,6 +190,31 @@ def test_word_encoder_is_the_tokenizer(seed):
 # --- 2 ---
 
 
+def test_signatures_take_few_bytes_a_shingle():
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(6))
+    offsets = np.array([0, 0, 1, 3, 700, 100_000, 100_000, 200_000])
+    hashes = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    tracemalloc.start()
+    got = simhash.signatures(hashes, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(hashes)  # 72 and more as eight words of counters
+    for a, b, sig in zip(offsets, offsets[1:], got):
+        bits = np.concatenate([np.unpackbits(simhash.mix(hashes[a:b] ^ salt).view(np.uint8).reshape(-1, 8), axis=1) for salt in simhash._SALT], axis=1).astype(int)
+        want = 2 * bits.sum(axis=0) + bits[0] > b - a if b > a else np.zeros(256, bool)
+        assert np.unpackbits(sig).astype(bool).tolist() == want.tolist()
+
+
+def test_shingles_are_sorted_and_distinct_in_each_row():
+    texts = [b"", b"a b c d e f a b c d e f a b c d e", b"...", b"one two", b"x " * 50, b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got, bounds = simhash.shingles(data, offsets)
+    assert np.diff(bounds).tolist() == [0, 6, 0, 1, 1, 0] and bounds[-1] == len(got)
+    assert all((np.diff(got[a:b].astype(object)) > 0).all() for a, b in zip(bounds, bounds[1:]) if b - a > 1)
+
+
 def near_texts(rng, n):
     rows = []
     for k in range(n):
