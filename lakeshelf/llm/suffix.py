@@ -102,16 +102,19 @@ def interleave(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shards: l
     last = np.concatenate([ends[ends > starts] - 1, ends[ends - starts > 1] - 2]).astype(np.int32)
     rounds = (depth + 1) // 2
     if whole:
-        offset = np.arange(n) - np.repeat(starts, ends - starts)
-        rest = np.repeat(ends, ends - starts) - np.arange(n)
-        merged = merged[offset[merged] >= 2 * rounds]
-    for k in range(1, rounds + 1):
-        before = merged[~opens[merged]] - np.int32(2)
-        before = np.concatenate([last, before]) if not whole or 2 * (rounds - k) >= depth - 2 else before
-        if whole:
-            before = before[(offset[before] >= 2 * (rounds - k)) & (rest[before] >= depth - 2 * (rounds - k))]
+        # in a round the places left are those as far behind the starts of the strings; named by these, all stay
+        offset = np.arange(n, dtype=np.int32) - np.repeat(starts.astype(np.int32), ends - starts)
+        behind = 2 * (rounds - 1)
+        rest = np.repeat([1, 2], [np.count_nonzero(ends > starts), np.count_nonzero(ends - starts > 1)])
+        last = last[(offset[last] >= behind) & (rest >= depth - behind)]
+        merged = np.concatenate([last - np.int32(behind), merged[offset[merged] >= 2 * rounds] - np.int32(2 * rounds)])
+        for k in range(1, rounds + 1):
+            merged = merged[np.argsort(symbol[2 * (rounds - k) :][merged], kind="stable")]
+        return merged
+    for _ in range(rounds):
+        before = np.concatenate([last, merged[~opens[merged]] - np.int32(2)])
         after = before[np.argsort(symbol[before], kind="stable")]
-        if not whole and np.array_equal(after, merged):
+        if np.array_equal(after, merged):
             break
         merged = after
     return merged
@@ -368,10 +371,11 @@ def _marks(docs: DataFrame, found: DataFrame, parts: int, length: int, gram: int
             starts = ends - n
             at = np.arange(ends[-1]) - np.repeat(starts, n) + np.repeat(start[open_], n)
             flags = repeated(text[at], starts, ends, source[open_], who[open_], length)
-            for k in range(int(strings[open_].max())):
-                has = strings[open_] > k
-                hit = flags[starts[has] + k]
-                gone[open_[has]] |= hit.astype(np.uint64) << np.uint64(k)
+            hit = np.flatnonzero(flags)
+            if len(hit):
+                of = np.repeat(np.arange(len(n)), n)[hit]
+                head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                gone[open_[of[head]]] |= np.bitwise_or.reduceat(np.uint64(1) << (hit - starts[of]).astype(np.uint64), head)
         twins = who[order] == who[first]
         gone[order[twins]] = gone[first[twins]]
         hit = np.flatnonzero(gone)

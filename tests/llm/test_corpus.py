@@ -486,6 +486,26 @@ def test_merged_transforms_order_all_suffixes():
     assert sorted(merged.tolist()) == list(range(600)) and keys == sorted(keys)
 
 
+@pytest.mark.parametrize("depth", (50, 51))
+def test_rounds_keep_only_the_starts_of_whole_strings(depth):
+    import tracemalloc
+
+    rng = np.random.Generator(np.random.PCG64(12))
+    size = rng.integers(1, 130, 3000)
+    ends = np.cumsum(size)
+    starts, end_at = ends - size, np.repeat(ends, size)
+    text = rng.integers(97, 99, int(ends[-1])).astype(np.uint8)
+    order = [suffix.suffix_order(text, end_at)]
+    tracemalloc.start()
+    merged = suffix.interleave(text, starts, ends, order, depth, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.flatnonzero(end_at - np.arange(len(text)) >= depth)
+    keys = [text[p : p + depth].tobytes() for p in merged]
+    assert sorted(merged.tolist()) == whole.tolist() and keys == sorted(keys)
+    assert peak < 26 * len(text)
+
+
 def test_passages_are_dropped(spark):
     same = "every word of this long sentence stands in two documents of the corpus"
     rows = [(1, f"first {same} end"), (2, f"ü {same} tail"), (3, None), (4, "clean")]
