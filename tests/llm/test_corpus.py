@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out labels, on small tables."""
 
 import collections
+import gc
 import hashlib
 import math
 import random
@@ -113,6 +114,21 @@ def passed_on(of):
     yield from of
 
 
+def test_modules_are_not_collected_again_after_each_task():
+    from lakeshelf.llm import common
+
+    common._set_aside.cache_clear()
+    gc.unfreeze()
+    try:
+        assert list(tidy(passed_on)(iter([1]))) == [1]
+        loaded = gc.get_freeze_count()
+        assert loaded > 1000 and len(gc.get_objects()) < loaded
+        assert list(tidy(passed_on)(iter([1]))) == [1]
+        assert gc.get_freeze_count() <= loaded  # what a later task leaves is still looked at
+    finally:
+        gc.unfreeze()
+
+
 def test_packing_gives_memory_back_but_keeps_its_words(monkeypatch):
     from lakeshelf.llm import common
 
