@@ -14,7 +14,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from lakeshelf.llm import bpe, forest, html, lines, lm, packing, simhash, suffix, threshold, toxicity  # noqa: E402
-from lakeshelf.llm.common import components, spans, tidy  # noqa: E402
+from lakeshelf.llm.common import components, least_in_windows, spans, tidy  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, part string, id string, block string"
 
@@ -533,6 +533,15 @@ def test_passages_are_dropped(spark):
 # --- 7 ---
 
 
+def test_least_hashes_of_some_windows_are_those_of_all():
+    rng = np.random.Generator(np.random.PCG64(14))
+    hashes = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    widths = (5, 11, 17, 600)
+    begins = [np.array([0, 3, 4, 496 - 1]), np.empty(0, np.int64), np.arange(0, 484, 7), np.empty(0, np.int64)]
+    for width, own, got in zip(widths, begins, least_in_windows(hashes, *widths, begins=begins), strict=True):
+        assert got.tolist() == [p + int(hashes[p : p + width].argmin()) for p in own.tolist()]
+
+
 def edits(a, b):
     row = list(range(len(a) + 1))
     for j, c in enumerate(b):
