@@ -34,6 +34,14 @@ def test_query_gives_what_its_sql_gives(spark, sql, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(want.fetchall(), columns)
 
 
+def test_sizes_beyond_a_gigabyte_are_as_in_the_sql(spark, sql, tmp_path):
+    keys = "SELECT unnest([1, 4, 4095, 4096, 4194303, 4194304, 5000001, 36000000, 60000000, 4194304000, 42949672960, 60000000000]) AS o_orderkey"
+    sql.execute(f"COPY ({keys}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    want = sql.execute(registry.oracle_sql()["format_bytes"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet'")).fetchall()
+    got = registry.queries()["format_bytes"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     from lakeshelf.operators.where import compile_where
     from lakeshelf.sources.tables import documents_as_files
