@@ -273,3 +273,67 @@ def test_natural_order_of_long_numbers(spark):
     names = ["f" + "9" * 40, "f1" + "0" * 40, "f2", "f10", "F02b", "f"]
     df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n")))
     assert [r.n for r in df.collect()] == ["f", "f2", "F02b", "f10", "f" + "9" * 40, "f1" + "0" * 40]
+
+
+def _moved(spark, run):
+    """Bytes that were shuffled as run ran."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    store = sc._jsc.sc().statusStore()
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def _noise(spark, path, first=0):
+    """60 payloads of 16,000 letters each that no compression makes much smaller; every fifth is a copy."""
+    import hashlib
+
+    def letters(k):
+        return "".join(hashlib.sha512(b"%d %d" % (k, i)).hexdigest() for i in range(125))
+
+    rows = [(f"{k:06d}", f"{k}.txt", bytearray(letters(k - (k % 5 == 4)).encode()), f"/f{k % 2}") for k in range(first, first + 60)]
+    spark.createDataFrame(rows, "id string, name string, content binary, folder string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_changes_and_reads_shuffle_no_texts(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    odd = lambda: [r.id for r in shelf.all(where={"folder": "/f1"}).select("id").collect()]
+    first, second = _noise(spark, str(tmp_path / "1")), _noise(spark, str(tmp_path / "2"), 60)
+    read = lambda: shelf.files().write.format("noop").mode("overwrite").save()
+
+    def failing(s):
+        s.purge(odd())
+        s.move([f"{0:06d}"], "/elsewhere")
+        raise KeyError
+
+    def rolled_back():
+        with pytest.raises(KeyError):
+            shelf.transaction(failing)
+
+    steps = {
+        "ingest": lambda: shelf.ingest(first),
+        "ingest with dedupe": lambda: shelf.ingest(second, True),
+        "read": read,
+        "move": lambda: shelf.move(odd(), "/f1"),
+        "trash": lambda: shelf.trash(odd()),
+        "restore": lambda: shelf.restore([r.id for r in shelf.all(where={"deleted": True}).select("id").collect()]),
+        "roll back": rolled_back,
+        "compact": shelf.compact,
+        "purge": lambda: shelf.purge(odd()),
+        "trash again": lambda: shelf.trash([f"{0:06d}", f"{2:06d}"]),
+        "empty the trash": shelf.empty_trash,
+        "prune": shelf.prune_orphans,
+        "read again": read,
+        "chunks": lambda: shelf.chunks().write.format("noop").mode("overwrite").save(),
+    }
+    moved = {name: _moved(spark, run) for name, run in steps.items()}
+    assert max(moved.values()) < 300_000, moved  # the texts are 2 MB, their folded form as much
+    assert {r.folder for r in shelf.files().collect()} == {"/f0"} and shelf.get_blob(f"{8:06d}") == shelf.get_text(f"{8:06d}").encode()
+    assert _moved(spark, lambda: shelf.backup(str(tmp_path / "b"))) > 300_000  # which brings texts to their bytes
