@@ -337,3 +337,39 @@ def test_changes_and_reads_shuffle_no_texts(spark, tmp_path):
     assert max(moved.values()) < 300_000, moved  # the texts are 2 MB, their folded form as much
     assert {r.folder for r in shelf.files().collect()} == {"/f0"} and shelf.get_blob(f"{8:06d}") == shelf.get_text(f"{8:06d}").encode()
     assert _moved(spark, lambda: shelf.backup(str(tmp_path / "b"))) > 300_000  # which brings texts to their bytes
+
+
+def test_a_walk_gives_the_pages_of_the_cursors(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    shelf.add_many(["x " * (k % 7 + 1) for k in range(13)])
+    shelf.compact()
+    shelf.add("a later one")
+    for query in ({"sort": "size"}, {"sort": [{"field": "size", "order": "desc"}], "offset": 3}, {"search": "x"}):
+        walk, cursor = shelf.walk(limit=5, **query), None
+        for number in range(walk.pages):
+            page = shelf.list(limit=5, **query) if number == 0 else shelf.list(limit=5, **{**query, "cursor": cursor})
+            assert [r.id for r in page.items] == [r.id for r in walk.page(number).collect()]
+            cursor = walk.next_cursor(number)
+            assert cursor == page.next_cursor
+        assert cursor is None and walk.total == page.total - query.get("offset", 0)
+
+
+def test_the_walk_of_all_pages_takes_as_many_jobs_for_more_pages(spark, tmp_path):
+    import os
+
+    from lakeshelf.plans import shelves
+    from pyspark.sql import functions as F
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    counts = []
+    for times in (2, 12):  # 400 and 2,400 documents
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("text", F.substring("text", 1, 50))
+        docs = docs.crossJoin(spark.range(times).withColumnRenamed("id", "k")).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("k")).drop("k")
+        docs.write.parquet(f"{tmp_path}/{times}/documents.parquet")
+        before = store.jobsList(spark._jvm.java.util.ArrayList()).size()
+        got = shelves.QUERIES["shelf_cursor_pages"][0](spark, f"{tmp_path}/{times}").orderBy("place").collect()
+        counts.append(store.jobsList(spark._jvm.java.util.ArrayList()).size() - before)
+        assert [r.place for r in got] == list(range(200 * times)) and {(r.total, r.more) for r in got} == {(200 * times, times > 2)}
+    assert counts[1] <= counts[0] + 3, counts
