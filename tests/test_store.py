@@ -1,6 +1,7 @@
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeshelf.errors import ClosedError, NotFoundError, ValidationError
 from lakeshelf.operators.select import iterate, matched, select_page, Query
@@ -339,6 +340,20 @@ def test_changes_and_reads_shuffle_no_texts(spark, tmp_path):
     assert _moved(spark, lambda: shelf.backup(str(tmp_path / "b"))) > 300_000  # which brings texts to their bytes
 
 
+def test_a_backup_leaves_out_what_is_made_anew(spark, tmp_path):
+    from lakeshelf.schema import SEARCH_COLUMNS
+
+    shelf = Shelf(spark, str(tmp_path / "s")).open()
+    shelf.add_many(["Ärger  im Büro", "two"], tags=["Ä"], notes="Señor", metadata={"n": 1})
+    shelf.trash([shelf.first(search="two")["id"]])
+    assert shelf.backup(str(tmp_path / "b")) == 2
+    assert not set(spark.read.parquet(str(tmp_path / "b")).columns) & set(SEARCH_COLUMNS)
+    other = Shelf(spark, str(tmp_path / "t")).open()
+    assert other.restore_backup(str(tmp_path / "b")) == 2
+    both = [sorted(s.files().select("id", *SEARCH_COLUMNS, F.col("deleted_at") > 0).collect()) for s in (shelf, other)]
+    assert both[0] == both[1]
+
+
 def test_a_walk_gives_the_pages_of_the_cursors(spark, tmp_path):
     shelf = Shelf(spark, str(tmp_path / "s")).open()
     shelf.add_many(["x " * (k % 7 + 1) for k in range(13)])
@@ -358,7 +373,6 @@ def test_the_walk_of_all_pages_takes_as_many_jobs_for_more_pages(spark, tmp_path
     import os
 
     from lakeshelf.plans import shelves
-    from pyspark.sql import functions as F
 
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no tables")
